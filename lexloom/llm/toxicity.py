@@ -32,7 +32,7 @@ from .scoring import fold, labelled, score_texts, sigmoid, texts_of
 MAX_LABELS = 40_000
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
-MAX_WORDS = 1_000
+MAX_WORDS = 200
 #: A word must be in this many positives to be learnt from.
 MIN_POSITIVE = 3
 
@@ -55,7 +55,7 @@ class WordModel:
         return sigmoid(np.array([self.bias + sum(w[x] for x in known & words(t)) for t in texts], dtype=np.float64))
 
 
-def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_words: int, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 2e-4) -> tuple[float, np.ndarray]:
+def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_words: int, prior: float, steps: int = 800, rate: float = 0.2, l2: float = 1e-5) -> tuple[float, np.ndarray]:
     """Bias and weights from (row, word) pairs.  Where the bracket of the risk
     is negative, its gradient is followed the other way, which takes back
     over-fitted unlabelled rows."""
