@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rank, sharding, toxicity
+from . import exact_dedup, packing, quality_rank, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.write_token_files(documents(spark, sf_dir), end_id=0)
+    return token_files.read_token_files(spark, out, token_files.crc_of, "long", "ids_crc32")
+
+
+def op7_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -39,6 +48,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nnpu_toxicity": op3_nnpu_toxicity,
     "op4_pairwise_quality": op4_pairwise_quality,
+    "op5_token_files": op5_token_files,
+    "op7_differencing_packs": op7_differencing_packs,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
 }
