@@ -1,15 +1,53 @@
-"""The corpus pipeline: quality, exact and near duplicates, mixing, packing."""
+"""The corpus pipeline: quality, exact and near duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next one's docs.  All but the last give the columns of
+``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lexloom.llm import exact_dedup, minhash, mixing, packing, quality_rank
+from lexloom.llm.common import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranker accepts."""
+    return quality_rank.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of equal texts."""
+    return exact_dedup.keep_one_of_each(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of near duplicates."""
+    return minhash.keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the sources' schedule."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", pack)]
+
+#: Learned scores, MinHash and tokens are beyond SQL; tests hold run() against
+#: a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
+    for name, step in STAGES:
         docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage(docs, name)
     return docs

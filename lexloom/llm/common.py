@@ -79,3 +79,44 @@ def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: S
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_offset") + F.col("_at")).drop("_b", "_bucket", "_offset", "_at", *(f"_g{i}" for i in range(len(groups))))
+
+
+#: 64-bit words of a bitmap over hashed keys: 4,194,304 bits in at most 65,536
+#: rows of 16 bytes, whatever it is made of.
+BITMAP_WORDS = 1 << 16
+
+
+def _place(key: str) -> tuple[str, str]:
+    return f"cast(shiftrightunsigned(xxhash64({key}), 48) AS int)", f"cast(shiftrightunsigned(xxhash64({key}), 42) & 63L AS int)"
+
+
+def bitmap_of(df: DataFrame, key: str) -> DataFrame:
+    """The keys as a bitmap of fixed size, small enough to broadcast.  It may
+    answer yes for a key that is not there, never no for one that is."""
+    word, bit = _place(key)
+    return df.select(F.expr(word).alias("_word"), F.expr(bit).alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+
+
+def flag_by_bitmap(df: DataFrame, key: str, bitmap: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: whether the bitmap may hold the row's key.  No row is
+    shuffled."""
+    word, bit = _place(key)
+    found = df.join(F.broadcast(bitmap), F.expr(word) == F.col("_word"), "left")
+    return found.withColumn(out, F.expr(f"coalesce((shiftright(_bits, {bit}) & 1L) = 1L, false)")).drop("_word", "_bits")
+
+
+def where_in_bitmap(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    return flag_by_bitmap(df, key, bitmap, "_maybe").where("_maybe").drop("_maybe")
+
+
+def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``dropped`` (one column, ``id``), columns as
+    they were.  Rows that the bitmap clears pass as they are; only the rest,
+    the dropped and a few by chance, are shuffled for the exact anti-join."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    key = f"c{names.index(id_col)}"
+    marked = flag_by_bitmap(plain, key, bitmap_of(dropped, "id"), "_maybe")
+    clear = marked.where(~F.col("_maybe"))
+    rest = marked.where("_maybe").join(dropped.select(F.col("id").alias("_id")), F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    return clear.unionByName(rest).drop("_maybe").toDF(*names)

@@ -4,7 +4,7 @@ Texts are compared without their white space.  One scan takes each text's
 length and the hash of a short prefix; a group that is alone at its length, or
 at its length and prefix, needs nothing more.  Only texts of groups still in
 doubt are hashed in full, in a second scan that never moves a text: the groups
-in doubt reach it as a bitmap of fixed size, at most ``BITMAP_WORDS`` rows.
+in doubt reach it as a bitmap of fixed size, 1 MB at most.
 A set bit by chance only costs a hash; the final grouping is by length,
 prefix hash and SHA-256 together.
 
@@ -22,11 +22,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, pick, stage
+from .common import SPACE, bitmap_of, drop_ids, flag_by_bitmap, pick, stage
 
 PREFIX_CHARS = 128
-#: 64-bit words of the bitmap: 4,194,304 bits, 16 bytes a row, 1 MB to broadcast.
-BITMAP_WORDS = 1 << 16
 
 
 def squeezed(text: Column) -> Column:
@@ -34,11 +32,6 @@ def squeezed(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c)), SPACE, F.coalesce(text, F.lit("")))
 
 
-#: Word and bit of a group: the top 16 bits of its hash, then the next 6.
-_WORD = "cast(shiftrightunsigned(xxhash64(length, prefix), 48) AS int)"
-_BIT = "cast(shiftrightunsigned(xxhash64(length, prefix), 42) & 63L AS int)"
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, and full_hash (null where the
     cascade did not need it, unless ``hash_all``).
@@ -51,13 +44,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Levels 1 and 2: length, then length and prefix hash, from one aggregate.
     doubt = shape.groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bitmap = doubt.groupBy(F.expr(_WORD).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {_BIT}))").alias("bits"))
-
     # Level 3: the full hash, only where the bitmap leaves a doubt.
-    marked = shape.withColumn("_word", F.expr(_WORD)).join(F.broadcast(bitmap), F.col("_word") == F.col("word"), "left")
-    in_doubt = F.expr(f"coalesce((shiftright(bits, {_BIT}) & 1L) = 1L, false)")
+    marked = flag_by_bitmap(shape, "length, prefix", bitmap_of(doubt, "length, prefix"), "doubtful")
+    in_doubt = F.col("doubtful")
     full = F.sha2(F.col("squeezed"), 256)
-    level3 = stage(marked.select("id", "points", "length", "prefix", in_doubt.alias("doubtful"), (full if hash_all else F.when(in_doubt, full)).alias("full_hash")), "exact")
+    level3 = stage(marked.select("id", "points", "length", "prefix", "doubtful", (full if hash_all else F.when(in_doubt, full)).alias("full_hash")), "exact")
 
     key = ["length", "prefix", "full_hash"]
     best = F.min(F.struct((-F.col("points")).alias("minus"), F.col("id").isNull().alias("no_id"), F.col("id")))
@@ -77,6 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the rows that ``exact_dedup`` drops, columns as
-    they were."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti")
+    they were.  Only texts that the bitmap of dropped ids lets through are
+    shuffled."""
+    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("id")).distinct()
+    return drop_ids(docs, id_col, stage(dropped, "dropped"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_rank, sharding, token_files, toxicity
+from . import exact_dedup, minhash, mixing, packing, quality_rank, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir))
+
+
+def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -46,6 +54,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mix": op1_pfair_mix,
+    "op2_bbit_minhash": op2_bbit_minhash,
     "op3_nnpu_toxicity": op3_nnpu_toxicity,
     "op4_pairwise_quality": op4_pairwise_quality,
     "op5_token_files": op5_token_files,
