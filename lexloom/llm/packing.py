@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, stage
 from .token_files import slices
-from .tokens import ChunkEncoder
+from .tokens import worker_encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -102,7 +102,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "salt", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, "<u4")
+        encoder = worker_encoder(tokenizer, "<u4")
         end, width, salt = np.array([end_id], dtype="<u4").tobytes(), 4, 0
         for batch in batches:
             texts = batch.column(1).to_pylist()

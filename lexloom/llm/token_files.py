@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, pick
-from .tokens import ChunkEncoder, resolve
+from .tokens import resolve, worker_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 NO_ID = -(2**63)
@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: st
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = ChunkEncoder(tokenizer, kind), TaskContext.get().partitionId()
+        encoder, number = worker_encoder(tokenizer, kind), TaskContext.get().partitionId()
         end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
         names, ends, tag = [], [0], uuid.uuid4().hex
         temp = f"{folder}/.{number}-{tag}"

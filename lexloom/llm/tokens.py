@@ -12,11 +12,12 @@ against the library on adversarial texts).
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
-#: Distinct chunks kept per worker before the memo starts again (bounds memory).
-MEMO_CHUNKS = 500_000
+#: Chunks kept per worker, the first met; bounds its memory at some 250 MB.
+MEMO_CHUNKS = 1_000_000
 #: Longer chunks are encoded but not kept.
 MEMO_CHARS = 64
 #: Chunks joined into one call of the library.
@@ -54,6 +55,8 @@ class ChunkEncoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.blank_first = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.blank_first[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.folds_case = self._ids("AB Cd") == self._ids("ab cd")
+        self.tails = {t: self._pack(self._ids(t)) for t in (".", ",") if self._ids(f"ab{t}") == [*self._ids("ab"), *self._ids(t)]}
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -96,43 +99,56 @@ class ChunkEncoder:
                 out += [raw[a * w : b * w] for a, b in cuts]
         return out
 
+    def _stem(self, chunk: str) -> tuple[str, str]:
+        """A word and the stop or comma after it, which every pre-tokeniser here
+        cuts apart; a word in ASCII in lower case where case leaves no trace."""
+        stem, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.tails and chunk[:-1].isalpha() else (chunk, "")
+        return (stem.lower() if self.folds_case and stem.isascii() else stem), tail
+
+    def _resolve(self, fresh: dict[str, None]) -> dict[str, bytes]:
+        get, todo = self.memo.get, {}
+        stems = {c: self._stem(c) for c in fresh}
+        known = {s: get(s) for s, _ in stems.values()}
+        todo = [s for s, ids in known.items() if ids is None]
+        known.update(zip(todo, self._encode_chunks(todo)))
+        found = {c: known[s] + self.tails[t] if t else known[s] for c, (s, t) in stems.items()}
+        if len(self.memo) < MEMO_CHUNKS:
+            self.memo.update((c, ids) for table in (known, found) for c, ids in table.items() if len(c) <= MEMO_CHARS)
+        return found
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; None counts as empty."""
-        memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        split: list[list[str] | None] = []
+        get = self.memo.get
+        rows: list[tuple[list[str], list[bytes | None]] | None] = []
         heads: list[str] = []
-        missing: dict[str, None] = {}
+        fresh: dict[str, None] = {}
         for text in texts:
             chunks = self._chunks(text) if text else []
-            # A few control characters count as white space in Python alone.
-            if not self.keeps_space and text and ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
-                chunks = None
             head = chunks.pop(0) if chunks and self.keeps_space else ""
-            if chunks:
-                new = [c for c in chunks if c not in memo]
-                if new:
-                    if all(map(self._fits, new)) and not (head and head[-1].isspace()) and (head or not self.keeps_space):
-                        missing.update(dict.fromkeys(new))
-                    else:
-                        chunks = None
-                elif self.keeps_space and (not head or head[-1].isspace()):
-                    chunks = None
-            split.append(chunks)
+            parts = list(map(get, chunks))
+            apart = not head or not head[-1].isspace()
+            if not self.keeps_space and text and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                apart = False  # white space in Python alone
+            if apart and None in parts:
+                new = [c for c, ids in zip(chunks, parts) if ids is None]
+                apart = all(map(self._fits, new))
+                if apart:
+                    fresh.update(dict.fromkeys(new))
+            rows.append((chunks, parts) if apart else None)
             heads.append(head)
-        fresh = list(missing)
-        memo.update(zip(fresh, self._encode_chunks(fresh)))
+        found = self._resolve(fresh) if fresh else {}
         firsts = [self._pack(e.ids) for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)] if self.keeps_space else [b""] * len(texts)
         out = []
-        for text, chunks, first in zip(texts, split, firsts):
-            if not text:
-                out.append(b"")
-            elif chunks is None:
+        for text, row, first in zip(texts, rows, firsts):
+            if row is None:
                 out.append(self._pack(self._ids(text)))
             else:
-                out.append(first + b"".join([memo[c] for c in chunks]))
-        for c in fresh:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
+                out.append(first + b"".join([found[c] if ids is None else ids for c, ids in zip(*row)]))
         return out
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(tokenizer: str, dtype: str) -> ChunkEncoder:
+    """The encoder of this Python worker: tasks that follow one another in a
+    worker share its memo."""
+    return ChunkEncoder(tokenizer, dtype)

@@ -11,7 +11,7 @@ ODD = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "x\n\n  y", "it's I'L
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_equal_to_whole_text_encoding(name):
     rng = random.Random(5)
-    pool = ODD + ["the", "of.\nThe", "tion,", "$$$", "\n", "  ", "\t", "Zürich", "¶", "x" * 90]
+    pool = ODD + ["the", "of.\nThe", "tion,", "$$$", "\n", "  ", "\t", "Zürich", "¶", "x" * 90, "Tion", "TION.", "été,", "Été.", "a.b,", "..", ",", "x..", "Ab,"]
     texts = ODD + ["".join(rng.choice(pool) + rng.choice([" ", " ", " ", "", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
     enc = ChunkEncoder(name)
     for lo in (0, 0):  # the second time from the memo
