@@ -17,6 +17,7 @@ any other; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,13 +65,13 @@ def repeated_words(words: Column) -> Column:
         return let(ordered, lambda s: let(places(s), lambda p: total(step(p))))
 
     found = let(windows, lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered(hashes)))
-    return F.when(n < 6 - 2, F.lit(0)).otherwise(found).cast("long")
+    return F.when(n < 4, F.lit(0)).otherwise(found).cast("long")
 
 
 @dataclass(frozen=True)
 class Measure:
-    """SQL over ``_text``, ``_words`` (and ``_lines``), and its cost in
-    nanoseconds for each character and word of a text."""
+    """A value of ``_text`` and ``_words``, and its cost in nanoseconds for each
+    character and word of a text."""
 
     name: str
     value: Column
@@ -94,19 +95,22 @@ def base_measures() -> list[Measure]:
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` gets the needed measures by name and gives a condition."""
+
     name: str
     needs: tuple[str, ...]
-    rejects: str  # SQL over the measures
+    rejects: Callable[[Mapping[str, Column] | Column], Column]
 
 
+#: The base rules come first; the cascade sets the order.
 RULES = (
-    Rule("few_words", ("n_words",), f"n_words < {BASE_WORDS}"),
-    Rule("repeated_words", ("n_words", "n_repeat_words"), f"100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words"),
-    Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > n_words"),
-    Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("repeated_lines", ("n_words", "n_dup_lines"), "n_dup_lines >= 10 AND 10 * n_dup_lines > n_words"),
-    Rule("shouting", ("word_chars", "n_capitals"), "10 * n_capitals > 4 * word_chars"),
-    Rule("marks", ("n_words", "n_marks"), "2 * n_marks > n_words"),
+    Rule("few_words", ("n_words",), lambda m: m["n_words"] < BASE_WORDS),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda m: 100 * m["n_repeat_words"] > BASE_REPEAT_PERCENT * m["n_words"]),
+    Rule("symbols", ("n_words", "n_symbols"), lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("word_length", ("n_words", "word_chars"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    Rule("repeated_lines", ("n_words", "n_dup_lines"), lambda m: (m["n_dup_lines"] >= 10) & (10 * m["n_dup_lines"] > m["n_words"])),
+    Rule("shouting", ("word_chars", "n_capitals"), lambda m: 10 * m["n_capitals"] > 4 * m["word_chars"]),
+    Rule("marks", ("n_words", "n_marks"), lambda m: 2 * m["n_marks"] > m["n_words"]),
 )
 BASE_RULES = ("few_words", "repeated_words")
 
@@ -129,7 +133,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     be computed.  Ties, and rules that reject nothing, go by cost, then name."""
     costs = {m.name: m for m in base_measures()}
     sample = measures(pick(docs, doc_id=id_col, text=text_col).limit(sample_rows))
-    flags = [F.expr(r.rejects).cast("int").alias(r.name) for r in rules]
+    flags = [r.rejects({m: F.col(m) for m in r.needs}).cast("int").alias(r.name) for r in rules]
     # At most one row for each set of rules that reject together.
     seen = sample.select(*flags, "n_words", "word_chars").groupBy(*(r.name for r in rules)).agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.sum("word_chars").alias("chars")).collect()
     words, chars = sum(r.words for r in seen), sum(r.chars + r.words for r in seen)
@@ -160,16 +164,10 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     rows = _texts(docs, id_col, text_col)
     if with_measures:
         rows = rows.select("id", *(m.value.alias(m.name) for m in base_measures()))
-        verdict = lambda rule: F.expr(rule.rejects)
+        verdict = lambda rule: rule.rejects({m: F.col(m) for m in rule.needs})
     else:
         named = {m.name: m.value for m in base_measures()}
-
-        def verdict(rule: Rule) -> Column:
-            found = F.struct(*(named[m].alias(m) for m in rule.needs))
-            inner = rule.rejects
-            for m in sorted(rule.needs, key=len, reverse=True):
-                inner = inner.replace(m, f"_m.{m}")
-            return F.exists(F.array(found), lambda v: _substitute(inner, v, rule.needs))
+        verdict = lambda rule: let(F.struct(*(named[m].alias(m) for m in rule.needs)), rule.rejects)
 
     first = None
     for rule in ordered:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality_rank, sharding, token_files, toxicity
+from . import exact_dedup, minhash, mixing, packing, quality_rank, quality_rules, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out, token_files.crc_of, "long", "ids_crc32")
 
 
+def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.cascade(documents(spark, sf_dir), with_measures=True)
+    base_failed = (F.col("n_words") < quality_rules.BASE_WORDS) | (100 * F.col("n_repeat_words") > quality_rules.BASE_REPEAT_PERCENT * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept")
+
+
 def op7_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -59,12 +65,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nnpu_toxicity": op3_nnpu_toxicity,
     "op4_pairwise_quality": op4_pairwise_quality,
     "op5_token_files": op5_token_files,
+    "op6_rule_cascade": op6_rule_cascade,
     "op7_differencing_packs": op7_differencing_packs,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_rule_cascade": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+             g AS (SELECT doc_id, i, words[i:i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 4)),
+             r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+             c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+             m AS (SELECT doc_id,
+                          len(words)::BIGINT AS n_words,
+                          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                          (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                           - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+                          length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
+                          length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_capitals
+                   FROM w)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+               n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words
+                    OR 10 * n_symbols > n_words
+                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR (n_dup_lines >= 10 AND 10 * n_dup_lines > n_words)
+                    OR 10 * n_capitals > 4 * word_chars
+                    OR 2 * n_marks > n_words) AS kept
+        FROM m LEFT JOIN c USING (doc_id)
+    """,
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
              h AS (SELECT doc_id, points, sha256(t) AS text_sha256 FROM d)
