@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality_rank, quality_rules, sharding, token_files, toxicity
+from . import exact_dedup, minhash, mixing, packing, pii, quality_rank, quality_rules, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
 
 
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(documents(spark, sf_dir))
+    counts = (pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS)
+    return out.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_bbit_minhash": op2_bbit_minhash,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_differencing_packs": op7_differencing_packs,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_boosted_pii": op10_boosted_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,79 @@
+"""Base spans against Python's re; added spans against their rules."""
+
+import random
+import re
+
+import pytest
+
+from lexloom.llm import pii
+
+SCHEMA = "doc_id long, text string, BASE string, spans int, kind string"
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(n):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(n)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or ""):
+            n = re.sub("[^0-9]", "", m.group())
+            ok = {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m.group().split(".")), "card": lambda: 14 <= len(n) <= 19 and luhn(n), "phone": lambda: 10 <= len(n) <= 15}[kind]()
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def texts():
+    rng = random.Random(8)
+    pool = ["a@b.c", "x.y@z-1.co.uk", "@", ".", "é", "\U0001f600", " ", "\n", "1.2.3.4", "256.1.1.1", "00001.002.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (212) 555-1234", "+", "12", "(", ")", "-", "word", "_", "%", "a@b", "1" * 30, "99999999999999999999.1.1.1"]
+    out = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    return [*out, None, "", "a.b@c.d_e@f.g", "1" * 30000, ".1" * 20000, "a" * 20000 + "@b" + ".c" * 9000, "+1" + " 2" * 9000, "1 - 2"]
+
+
+def test_base_spans_equal_brute_force(spark):
+    data = [(i, t, "x", 1, "y") for i, t in enumerate(texts())] + [(None, "a@b.c", None, None, None), (0, texts()[0], "x", 1, "y")]
+    docs = spark.createDataFrame(data, SCHEMA)
+    got = pii.find_personal_data(docs)
+    rows = got.select("doc_id", "base", "spans", pii.joined(got["base"]).alias("j")).collect()
+    want = {i: brute(t) for i, t, *_ in data}
+    assert len(rows) == len(data)
+    for r in rows:
+        base = [(s.start, s.kind, s.end) for s in r.base]
+        assert base == want[r.doc_id], r.doc_id
+        assert r.j == ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in base)
+        spans = [(s.start, s.kind, s.end) for s in r.spans]
+        assert set(base) <= set(spans) and spans == sorted(spans)
+        added = sorted(set(spans) - set(base))
+        assert all(a[2] <= b[0] or b[2] <= a[0] for a in added for b in spans if a != b)
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("and +1 (269) 555-3296 4524132264652876 end", ["+1 (269) 555-3296", "4524132264652876"]),
+        ("call 415-555-2671 now", ["415-555-2671"]),
+        ("mail john.doe (at) mail (dot) com please", ["john.doe (at) mail (dot) com"]),
+        ("version 1.2.3.4.5 of section 3.1", []),
+        ("serial 1234567890123456 in order", []),
+        ("nothing here at all", []),
+    ],
+)
+def test_added_spans(spark, text, found):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find_personal_data(docs).collect()[0]
+    base = {(s.start, s.end) for s in row.base}
+    assert [text[s.start : s.end] for s in row.spans if (s.start, s.end) not in base] == found
+
+
+def test_redact_and_empty(spark):
+    docs = spark.createDataFrame([(1, "é a@b.c, 10.0.0.1!"), (2, None), (3, "clean")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "é [email], [ip]!", 2: "", 3: "clean"}
+    assert pii.find_personal_data(spark.createDataFrame([], SCHEMA)).collect() == []
