@@ -21,6 +21,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,6 @@ def fit_rank(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 30, se
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS) -> RankModel | None:
-    import pyarrow as pa
-
     chosen = texts_of(docs, labelled(labels, id_col, label_col, max_labels), id_col, text_col)
 
     def run(batches):
@@ -151,8 +151,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents that the ranker accepts, columns as they were.  The score
     is computed beside the row, so no text is shuffled."""
-    import pandas as pd
-
     model = train(docs, labels, id_col, text_col, label_col)
     if model is None:
         return docs
