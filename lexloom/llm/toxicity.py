@@ -35,6 +35,8 @@ MAX_UNLABELLED = 12_000
 MAX_WORDS = 200
 #: A word must be in this many positives to be learnt from.
 MIN_POSITIVE = 3
+#: Least deviation, in standard errors, of a word's share among positives.
+MIN_Z = 4.0
 
 #: ASCII punctuation becomes a blank before a text is split into words.
 _BLANKED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -118,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share_p, share_u = F.col("p") / total.p, F.col("u") / total.u
     pooled = (F.col("p") + F.col("u")) / (total.p + total.u)
     z = (share_p - share_u) / F.sqrt(pooled * (1 - pooled) * (1 / total.p + 1 / total.u) + 1e-12)
-    best = found.where("word <> X''").orderBy(F.abs(z).desc(), "word").limit(MAX_WORDS).collect()
+    best = found.where("word <> X''").where(F.abs(z) >= MIN_Z).orderBy(F.abs(z).desc(), "word").limit(MAX_WORDS).collect()
     index = {bytes(r.word): i for i, r in enumerate(sorted(best, key=lambda r: bytes(r.word)))}
 
     def place(batches):
