@@ -132,12 +132,13 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     texts that all rules before it pass, for the cost of the measures still to
     be computed.  Ties, and rules that reject nothing, go by cost, then name."""
     costs = {m.name: m for m in base_measures()}
-    sample = measures(pick(docs, doc_id=id_col, text=text_col).limit(sample_rows))
+    sample = measures(docs, id_col, text_col)
     flags = [r.rejects({m: F.col(m) for m in r.needs}).cast("int").alias(r.name) for r in rules]
-    # At most one row for each set of rules that reject together.
-    seen = sample.select(*flags, "n_words", "word_chars").groupBy(*(r.name for r in rules)).agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.sum("word_chars").alias("chars")).collect()
-    words, chars = sum(r.words for r in seen), sum(r.chars + r.words for r in seen)
-    total = max(1, sum(r.n for r in seen))
+    # Numbers of at most sample_rows rows.  A limit right under collect() reads
+    # one partition and further ones only while rows are wanting.
+    seen = sample.select(*flags, "n_words", "word_chars").limit(sample_rows).collect()
+    words, chars = sum(r.n_words for r in seen), sum(r.word_chars + r.n_words for r in seen)
+    total = max(1, len(seen))
     left, had, out = list(rules), set(), []
     while left:
         passed = [r for r in seen if not any(r[x.name] for x in out)]
@@ -145,7 +146,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         def gain(rule: Rule) -> tuple[float, float, str]:
             new = [costs[m] for m in rule.needs if m not in had]
             cost = 1.0 + sum(m.per_char * chars + m.per_word * words for m in new) / total
-            return -sum(r.n for r in passed if r[rule.name]) / cost, cost, rule.name
+            return -sum(r[rule.name] for r in passed) / cost, cost, rule.name
 
         best = min(left, key=gain)
         out.append(best)
