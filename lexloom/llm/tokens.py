@@ -12,7 +12,10 @@ against the library on adversarial texts).
 from __future__ import annotations
 
 import os
+from collections import Counter
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
@@ -20,6 +23,9 @@ import numpy as np
 MEMO_CHUNKS = 1_000_000
 #: Longer chunks are encoded but not kept.
 MEMO_CHARS = 64
+#: The commonest chunks, and after how many they are known.
+HOT_CHUNKS = 16_000
+HOT_SEEN = 300_000
 #: Chunks joined into one call of the library.
 JOINED = 2_000
 #: Stands between chunks in a joined call where blanks leave no trace in the ids.
@@ -51,10 +57,14 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         self.memo: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+        self.seen: Counter[str] = Counter()
         self.keeps_space = self._ids(" b") != self._ids("b")
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.blank_first = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.blank_first[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.word_last = np.zeros(len(self.blank_first), dtype=bool)
+        self.word_last[[i for t, i in vocab.items() if t.endswith("</w>")]] = not self.keeps_space
         self.folds_case = self._ids("AB Cd") == self._ids("ab cd")
         self.tails = {t: self._pack(self._ids(t)) for t in (".", ",") if self._ids(f"ab{t}") == [*self._ids("ab"), *self._ids(t)]}
         mark = self._ids(MARK)
@@ -76,8 +86,16 @@ class ChunkEncoder:
         return not self.keeps_space or bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk's ids, a blank before each where blanks count."""
+        """Each chunk's ids, a blank before each where blanks count.  Many go
+        into one call; where they part again shows in the ids: a token that
+        starts with the blank, one that ends a word, or a mark put between."""
         lead = " " if self.keeps_space else ""
+        words = [c for c in chunks if c.isalpha()] if self.word_last.any() else []
+        if words and len(words) < len(chunks):
+            ids = dict(zip(words, self._encode_chunks(words)))
+            rest = [c for c in chunks if c not in ids]
+            ids.update(zip(rest, self._encode_chunks(rest)))
+            return [ids[c] for c in chunks]
         out: list[bytes] = []
         for lo in range(0, len(chunks), JOINED):
             part = chunks[lo : lo + JOINED]
@@ -86,17 +104,23 @@ class ChunkEncoder:
                 flat = np.array(self._ids(lead + " ".join(part)), dtype=self.dtype)
                 starts = np.flatnonzero(self.blank_first[flat])
                 if len(starts) == len(part) and starts[0] == 0:
-                    cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(flat)]))
+                    cuts = [*starts.tolist(), len(flat)]
+            elif words:
+                flat = np.array(self._ids(" ".join(part)), dtype=self.dtype)
+                ends = np.flatnonzero(self.word_last[flat]) + 1
+                if len(ends) == len(part) and ends[-1] == len(flat):
+                    cuts = [0, *ends.tolist()]
             elif self.mark is not None and not any(MARK in c for c in part):
-                flat = np.array(self._ids(f" {MARK} ".join(part)), dtype=self.dtype)
-                marks = np.flatnonzero(flat == self.mark)
-                if len(marks) == len(part) - 1:
-                    cuts = list(zip([0, *(marks + 1).tolist()], [*marks.tolist(), len(flat)]))
+                flat = np.array(self._ids("".join(f"{c} {MARK} " for c in part)), dtype=self.dtype)
+                marks = flat == self.mark
+                if marks.sum() == len(part):
+                    ends = np.flatnonzero(marks) - np.arange(len(part))
+                    flat, cuts = flat[~marks], [0, *ends.tolist()]
             if cuts is None:
                 out += [self._pack(e.ids) for e in self.tok.encode_batch_fast([lead + c for c in part], add_special_tokens=False)]
             else:
                 raw, w = flat.tobytes(), self.dtype.itemsize
-                out += [raw[a * w : b * w] for a, b in cuts]
+                out += [raw[a * w : b * w] for a, b in zip(cuts, cuts[1:])]
         return out
 
     def _stem(self, chunk: str) -> tuple[str, str]:
@@ -106,44 +130,64 @@ class ChunkEncoder:
         return (stem.lower() if self.folds_case and stem.isascii() else stem), tail
 
     def _resolve(self, fresh: dict[str, None]) -> dict[str, bytes]:
-        get, todo = self.memo.get, {}
+        """Ids of chunks that the memo lacks, and of their stems."""
+        get = self.memo.get
         stems = {c: self._stem(c) for c in fresh}
-        known = {s: get(s) for s, _ in stems.values()}
-        todo = [s for s, ids in known.items() if ids is None]
-        known.update(zip(todo, self._encode_chunks(todo)))
-        found = {c: known[s] + self.tails[t] if t else known[s] for c, (s, t) in stems.items()}
-        if len(self.memo) < MEMO_CHUNKS:
-            self.memo.update((c, ids) for table in (known, found) for c, ids in table.items() if len(c) <= MEMO_CHARS)
+        todo = list(dict.fromkeys(s for s, _ in stems.values() if get(s) is None))
+        found = dict(zip(todo, self._encode_chunks(todo)))
+        for c, (s, t) in stems.items():
+            if t or c != s:
+                ids = found.get(s)
+                found[c] = (get(s) if ids is None else ids) + (self.tails[t] if t else b"")
         return found
 
+    def _learn_hot(self, rows: list[list[str] | None]) -> None:
+        """After the first HOT_SEEN chunks the commonest get a table of their
+        own, small enough for the processor's cache."""
+        for row in rows:
+            self.seen.update(row or ())
+        if self.seen.total() >= HOT_SEEN:
+            pairs = ((c, self.memo.get(c)) for c, _ in self.seen.most_common(HOT_CHUNKS))
+            self.hot = {c: ids for c, ids in pairs if ids}
+            self.seen.clear()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; None counts as empty."""
-        get = self.memo.get
-        rows: list[tuple[list[str], list[bytes | None]] | None] = []
+        memo, hot = self.memo, self.hot
+        rows: list[list[str] | None] = []
+        parts: list[tuple[list, list, list]] = []
         heads: list[str] = []
         fresh: dict[str, None] = {}
         for text in texts:
             chunks = self._chunks(text) if text else []
             head = chunks.pop(0) if chunks and self.keeps_space else ""
-            parts = list(map(get, chunks))
             apart = not head or not head[-1].isspace()
             if not self.keeps_space and text and any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 apart = False  # white space in Python alone
-            if apart and None in parts:
-                new = [c for c, ids in zip(chunks, parts) if ids is None]
+            known = list(map(hot.get, chunks))
+            rest = list(compress(chunks, map(not_, known)))
+            ids = list(map(memo.get, rest))
+            if apart and None in ids:
+                new = [c for c, i in zip(rest, ids) if i is None]
                 apart = all(map(self._fits, new))
                 if apart:
                     fresh.update(dict.fromkeys(new))
-            rows.append((chunks, parts) if apart else None)
+            rows.append(chunks if apart else None)
+            parts.append((known, rest, ids))
             heads.append(head)
         found = self._resolve(fresh) if fresh else {}
         firsts = [self._pack(e.ids) for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)] if self.keeps_space else [b""] * len(texts)
         out = []
-        for text, row, first in zip(texts, rows, firsts):
+        for text, row, (known, rest, ids), first in zip(texts, rows, parts, firsts):
             if row is None:
                 out.append(self._pack(self._ids(text)))
             else:
-                out.append(first + b"".join([found[c] if ids is None else ids for c, ids in zip(*row)]))
+                late = iter([found[c] if i is None else i for c, i in zip(rest, ids)] if None in ids else ids)
+                out.append(first + b"".join([k or next(late) for k in known]))
+        if len(memo) < MEMO_CHUNKS:
+            memo.update((c, i) for c, i in found.items() if len(c) <= MEMO_CHARS)
+        if not hot:
+            self._learn_hot(rows)
         return out
 
 
