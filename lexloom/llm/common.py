@@ -3,10 +3,16 @@ folder, and gapless numbering of groups of any size."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +68,45 @@ def hash_bucket(n: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def trim() -> None:
+    """Hands memory that a worker no longer uses back to the machine; workers
+    stay alive between tasks, beside the executor's own heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches that trims when its task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def column_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``size`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size)))
+        yield lo, hi
+        lo = hi
+
+
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Such runs with their texts, null as empty: a worker holds few texts as
+    Python strings, whatever a batch holds."""
+    for lo, hi in column_slices(column, size):
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
 def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], out: str, counts_from: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... within each group, by bucket, then ``order``.
 

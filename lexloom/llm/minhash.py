@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, pick, stage, where_in_bitmap
+from .common import bitmap_of, drop_ids, pick, stage, text_slices, trim, trimmed, where_in_bitmap
 from .components import components
 from .shingles import Shingler, mix
-from .token_files import slices
+from .tokens import release
 
 MINIMA = 128
 BAND_ROWS = 4
@@ -87,12 +87,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts, SLICE_CHARS):
+            for lo, hi, texts in text_slices(batch.column(1), SLICE_CHARS):
                 n, digest, bands, packed = [], [], [], []
-                for s in shingler.sets(texts[lo:hi]):
+                for s in shingler.sets(texts):
                     n.append(len(s))
                     if len(s):
                         m = minima(s)
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 cols += [pa.array([p[i] for p in packed], pa.int64()) for i in range(len(PACKED))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "digest", "bands", *PACKED])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, bands array<long>, " + ", ".join(f"{p} long" for p in PACKED))
+    return docs.mapInArrow(trimmed(run), "id long, n long, digest binary, bands array<long>, " + ", ".join(f"{p} long" for p in PACKED))
 
 
 def estimate(left: str, right: str):
@@ -122,14 +122,14 @@ def set_table(docs: DataFrame) -> DataFrame:
     """From (id, text): id and the full set, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts, SLICE_CHARS):
-                sets = [s.tobytes() for s in shingler.sets(texts[lo:hi])]
+            for lo, hi, texts in text_slices(batch.column(1), SLICE_CHARS):
+                sets = [s.tobytes() for s in shingler.sets(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    return docs.mapInArrow(run, "id long, hashes binary")
+    return docs.mapInArrow(trimmed(run), "id long, hashes binary")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -183,6 +183,9 @@ def _check(table: pa.Table) -> pa.Table:
     root = linked(sets, np.where(block == i, 1, 2) if i != j else np.zeros(len(ids), np.int64))
     moved = root != np.arange(len(ids))
     blocked = table.column("blocks")[0].as_py() > 1
+    if len(ids) > 500:
+        del sets
+        trim()
     return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64()), "blocked": pa.array([blocked] * int(moved.sum()), pa.bool_())})
 
 
@@ -229,7 +232,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those linked to one of smaller id, columns as they
     were.  Only texts that the bitmap of dropped ids lets through are shuffled."""
-    from .common import drop_ids
-
     dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("id")).distinct()
     return drop_ids(docs, id_col, stage(dropped, "dropped"))

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stage
-from .token_files import slices
+from .common import column_slices, pick, stage, trimmed
+from .token_files import SLICE_BYTES
 from .tokens import worker_encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -105,10 +105,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
         encoder = worker_encoder(tokenizer, "<u4")
         end, width, salt = np.array([end_id], dtype="<u4").tobytes(), 4, 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
                 row, start, length, crc, whole, ids = [], [], [], [], [], []
-                for i, e in zip(range(lo, hi), encoder.encode_many(texts[lo:hi])):
+                for i, e in zip(range(lo, hi), encoder.encode_column(batch.column(1).slice(lo, hi - lo))):
                     e += end
                     n = len(e) // width
                     for a in range(0, n, capacity):
@@ -125,7 +124,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, schema)
+    return pick(docs, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -173,4 +172,4 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
                 ids.append(np.pad(flat, (0, capacity - len(flat)), constant_values=pad_id).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["sequence_id", "length", "ids"])
 
-    return whole.mapInArrow(run, "sequence_id long, length long, ids array<long>")
+    return whole.mapInArrow(trimmed(run), "sequence_id long, length long, ids array<long>")

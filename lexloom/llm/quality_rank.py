@@ -18,6 +18,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
 from .scoring import labelled, score_texts, sigmoid, texts_of
+from .tokens import release
 
 MAX_LABELS = 20_000
 MAX_PAIRS = 60_000
@@ -156,7 +159,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         return docs
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([float(model.score(np.array([features(t or "")]))[0]) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
+        for texts in batches:
+            yield pd.Series([float(model.score(np.array([features(t or "")]))[0]) for t in texts], dtype="float64")
+        trim()
 
     return docs.where(score(docs[text_col]) >= model.cut)

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, text_slices, trimmed
+from .tokens import release
 
 HOLD_OUT_FOLDS = 5
+SLICE_CHARS = 2_000_000
 
 
 def fold(key: Column) -> Column:
@@ -37,26 +39,20 @@ def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) ->
     return rows.join(F.broadcast(few), F.col("id") == F.col("_chosen")).drop("_chosen")
 
 
-def score_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]], slice_chars: int = 4_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """Per row: id, held_out, score.  ``make`` is called once per task and gives
     a function from texts to scores; null text goes in as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         score = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            done: list[np.ndarray] = []
-            lo = chars = 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars >= slice_chars or i == len(texts) - 1:
-                    done.append(score(texts[lo : i + 1]))
-                    lo, chars = i + 1, 0
+            done = [score(texts) for _, _, texts in text_slices(batch.column(1), SLICE_CHARS)]
             scores = np.concatenate(done) if done else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    scored = pick(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, score double")
+    scored = pick(docs, id=id_col, text=text_col).mapInArrow(trimmed(run), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "score")
 
 

@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, pick
+from .common import column_slices, fresh_path, pick, trimmed
 from .tokens import resolve, worker_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 NO_ID = -(2**63)
-#: Texts encoded at a time, by characters; bounds a worker's memory.
-SLICE_CHARS = 2_000_000
+#: Texts encoded at a time; bounds a worker's memory.
+SLICE_BYTES = 16_000_000
 #: Rows, and bytes of ids, read back at a time.
 READ_ROWS = 4_096
 READ_BYTES = 8_000_000
@@ -71,18 +71,6 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if most < 2**16 else "<u4"
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``chars`` characters."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: str = TOKENIZER, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encodes and writes every document; returns the folder."""
     spark = docs.sparkSession
@@ -99,9 +87,8 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: st
         with open(f"{temp}.ids", "wb") as ids:
             for batch in batches:
                 names.append(batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
-                texts = batch.column(1).to_pylist()
-                for lo, hi in slices(texts):
-                    encoded = encoder.encode_many(texts[lo:hi])
+                for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
+                    encoded = encoder.encode_column(batch.column(1).slice(lo, hi - lo))
                     for e in encoded:
                         ends.append(ends[-1] + len(e) // width + 1)
                     ids.write(end.join(encoded) + end)
@@ -117,7 +104,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: st
     rows = pick(docs, id=id_col, text=text_col).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     # One row for each part, whatever the number of documents.
-    counts = sorted(tuple(r) for r in ordered.select("id", "text").mapInArrow(write, "number int, docs long, tokens long").collect())
+    counts = sorted(tuple(r) for r in ordered.select("id", "text").mapInArrow(trimmed(write), "number int, docs long, tokens long").collect())
     found, doc_base, token_base = [], 0, 0
     for number, n_docs, n_tokens in counts:
         found.append({"number": number, "docs": n_docs, "tokens": n_tokens, "doc_base": doc_base, "token_base": token_base})
@@ -164,4 +151,4 @@ def read_token_files(spark: SparkSession, out_dir: str, value: Callable[[np.ndar
                 yield pa.RecordBatch.from_arrays([who, pa.array(own[:-1] + part.token_base, pa.int64()), pa.array(np.diff(own), pa.int64()), pa.array(got, arrow_value)], names=[id_name, "start", "n_tokens", value_name])
                 lo = hi
 
-    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, schema)
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(trimmed(read), schema)

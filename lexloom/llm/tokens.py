@@ -2,9 +2,10 @@
 token-file writer and the packer.
 
 Natural text repeats its words, so each distinct chunk is handed to the
-library once per worker and its ids are kept as packed bytes; a document is
-then a dictionary lookup per chunk and one ``bytes.join``.  Chunks are cut only
-where the tokenizer's own pre-tokeniser is certain to cut, so the ids equal
+library once per worker and its ids are kept as packed bytes; the ids of many
+documents are then gathered chunk by chunk.  Chunks are cut only where the
+tokenizer's own pre-tokeniser is certain to cut: at blanks for byte-level
+families, at white space for those that drop it, so the ids equal
 those of encoding the whole text (``tests/llm/test_tokens.py`` holds this
 against the library on adversarial texts).
 """
@@ -12,20 +13,18 @@ against the library on adversarial texts).
 from __future__ import annotations
 
 import os
-from collections import Counter
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks kept per worker, the first met; bounds its memory at some 250 MB.
+from .common import trim
+
+#: Chunks kept per worker, the first met; bounds its memory at some 160 MB.
 MEMO_CHUNKS = 1_000_000
 #: Longer chunks are encoded but not kept.
 MEMO_CHARS = 64
-#: The commonest chunks, and after how many they are known.
-HOT_CHUNKS = 16_000
-HOT_SEEN = 300_000
 #: Chunks joined into one call of the library.
 JOINED = 2_000
 #: Stands between chunks in a joined call where blanks leave no trace in the ids.
@@ -57,8 +56,6 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         self.memo: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {}
-        self.seen: Counter[str] = Counter()
         self.keeps_space = self._ids(" b") != self._ids("b")
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.blank_first = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -76,11 +73,6 @@ class ChunkEncoder:
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _chunks(self, text: str) -> list[str]:
-        """Byte-level: pieces between blanks, the first one apart from the rest
-        since it has no blank before it.  Others: pieces between white space."""
-        return text.split(" ") if self.keeps_space else text.split()
-
     def _fits(self, chunk: str) -> bool:
         """Whether a chunk may be encoded apart from its neighbours."""
         return not self.keeps_space or bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
@@ -141,58 +133,55 @@ class ChunkEncoder:
                 found[c] = (get(s) if ids is None else ids) + (self.tails[t] if t else b"")
         return found
 
-    def _learn_hot(self, rows: list[list[str] | None]) -> None:
-        """After the first HOT_SEEN chunks the commonest get a table of their
-        own, small enough for the processor's cache."""
-        for row in rows:
-            self.seen.update(row or ())
-        if self.seen.total() >= HOT_SEEN:
-            pairs = ((c, self.memo.get(c)) for c, _ in self.seen.most_common(HOT_CHUNKS))
-            self.hot = {c: ids for c, ids in pairs if ids}
-            self.seen.clear()
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; None counts as empty."""
-        memo, hot = self.memo, self.hot
-        rows: list[list[str] | None] = []
-        parts: list[tuple[list, list, list]] = []
-        heads: list[str] = []
-        fresh: dict[str, None] = {}
-        for text in texts:
-            chunks = self._chunks(text) if text else []
-            head = chunks.pop(0) if chunks and self.keeps_space else ""
-            apart = not head or not head[-1].isspace()
-            if not self.keeps_space and text and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                apart = False  # white space in Python alone
-            known = list(map(hot.get, chunks))
-            rest = list(compress(chunks, map(not_, known)))
-            ids = list(map(memo.get, rest))
-            if apart and None in ids:
-                new = [c for c, i in zip(rest, ids) if i is None]
-                apart = all(map(self._fits, new))
-                if apart:
-                    fresh.update(dict.fromkeys(new))
-            rows.append(chunks if apart else None)
-            parts.append((known, rest, ids))
-            heads.append(head)
-        found = self._resolve(fresh) if fresh else {}
-        firsts = [self._pack(e.ids) for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)] if self.keeps_space else [b""] * len(texts)
-        out = []
-        for text, row, (known, rest, ids), first in zip(texts, rows, parts, firsts):
-            if row is None:
-                out.append(self._pack(self._ids(text)))
-            else:
-                late = iter([found[c] if i is None else i for c, i in zip(rest, ids)] if None in ids else ids)
-                out.append(first + b"".join([k or next(late) for k in known]))
-        if len(memo) < MEMO_CHUNKS:
-            memo.update((c, i) for c, i in found.items() if len(c) <= MEMO_CHARS)
-        if not hot:
-            self._learn_hot(rows)
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow column; null counts as empty.
+
+        Splitting, finding distinct chunks and gathering their ids are Arrow's
+        work; Python sees each distinct chunk of the column once."""
+        if not len(column):
+            return []
+        column = pc.fill_null(column, "")
+        split = pc.split_pattern(column, " ") if self.keeps_space else pc.ascii_split_whitespace(column)
+        bounds = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        index, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        known = list(map(self.memo.get, chunks))
+        new = [c for c, ids in zip(chunks, known) if ids is None]
+        found = self._resolve(dict.fromkeys(filter(self._fits, new))) if new else {}
+        table = [found.get(c) if ids is None else ids for c, ids in zip(chunks, known)]
+        apart = np.fromiter((ids is not None for ids in table), dtype=bool, count=len(table))[index]
+        if self.keeps_space:
+            # A text's first piece has no blank before it.
+            first = bounds[:-1]
+            heads = split.values.take(pa.array(first)).to_pylist()
+            apart[first] = [not h or not h[-1].isspace() for h in heads]
+            index = index.copy()
+            index[first] = len(table) + np.arange(len(heads))
+            table += [self._pack(e.ids) for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)]
+        gathered = pa.array([b"" if ids is None else ids for ids in table], pa.large_binary()).take(pa.array(index))
+        ends = np.frombuffer(gathered.buffers()[1], dtype=np.int64)[: len(gathered) + 1][bounds]
+        raw = gathered.buffers()[2].to_pybytes() if gathered.buffers()[2] else b""
+        out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        wrong = np.concatenate([[0], np.cumsum(~apart)])[bounds]
+        for i in np.flatnonzero(np.diff(wrong)).tolist():
+            out[i] = self._pack(self._ids(column[i].as_py()))
+        if len(self.memo) < MEMO_CHUNKS:
+            self.memo.update((c, ids) for c, ids in found.items() if len(c) <= MEMO_CHARS)
         return out
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
 
 @lru_cache(maxsize=2)
 def worker_encoder(tokenizer: str, dtype: str) -> ChunkEncoder:
     """The encoder of this Python worker: tasks that follow one another in a
     worker share its memo."""
     return ChunkEncoder(tokenizer, dtype)
+
+
+def release() -> None:
+    """Frees the memo in a worker that turns to other work."""
+    if worker_encoder.cache_info().currsize:
+        worker_encoder.cache_clear()
+        trim()
