@@ -25,12 +25,12 @@ def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: S
     names = {g: f"_g{i}" for i, g in enumerate(groups)}
     offsets = counts.select(*(F.col(g).alias(n) for g, n in names.items()), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    rows = rows.withColumn("_at", F.row_number().over(within).cast("long") - 1)
+    rows = rows.withColumn("_in_bucket", F.row_number().over(within).cast("long") - 1)
     same = F.col("_bucket") == F.col("_b")
     for g, n in names.items():
         same = same & F.col(g).eqNullSafe(F.col(n))
-    done = rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_offset") + F.col("_at"))
-    return done.drop("_b", "_bucket", "_offset", "_at", *names.values())
+    done = rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_offset") + F.col("_in_bucket"))
+    return done.drop("_b", "_bucket", "_offset", "_in_bucket", *names.values())
 
 
 def md5_bucket(text: Column, buckets: int = RANK_BUCKETS) -> Column:
