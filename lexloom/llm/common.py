@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -33,14 +32,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"c{i}").alias(new) for new, i in at.items()))
 
 
+#: Folders made where a session names none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  ``spark.checkpoint.dir`` if
-    the session has it; a local temporary folder only where it is unset, as in
-    tests on one machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  A
+    local temporary folder only where that is unset, as in tests on one
+    machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        _OWN[app] = found
     return found.rstrip("/")
 
 
@@ -71,7 +75,6 @@ def hash_bucket(n: int, *cols: Column | str) -> Column:
 def trim() -> None:
     """Hands memory that a worker no longer uses back to the machine; workers
     stay alive between tasks, beside the executor's own heap."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
         ctypes.CDLL(None).malloc_trim(0)
@@ -119,11 +122,11 @@ def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: S
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    rows = rows.withColumn("_at", F.row_number().over(within).cast("long") - 1)
+    rows = rows.withColumn("_in_bucket", F.row_number().over(within).cast("long") - 1)
     same = F.col("_bucket") == F.col("_b")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_offset") + F.col("_at")).drop("_b", "_bucket", "_offset", "_at", *(f"_g{i}" for i in range(len(groups))))
+    return rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_offset") + F.col("_in_bucket")).drop("_b", "_bucket", "_offset", "_in_bucket", *(f"_g{i}" for i in range(len(groups))))
 
 
 #: 64-bit words of a bitmap over hashed keys: 4,194,304 bits in at most 65,536

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_slices, pick, stage, trimmed
+from .common import column_slices, pick, stage, trim, trimmed
 from .token_files import SLICE_BYTES
-from .tokens import worker_encoder
+from .tokens import MEMO_CHUNKS, worker_encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -95,17 +95,17 @@ def pack_sizes(sizes: Sequence[int], capacity: int = CAPACITY) -> list[list[int]
         windows = min(len(sizes), max(windows + 1, int(windows * (1 + 0.5 * (fullest - capacity) / capacity))))
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, salt, and its ids as
     little-endian 32-bit integers if wanted."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "salt", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, "<u4")
+        encoder = worker_encoder(tokenizer, "<u4", memo_chunks)
         end, width, salt = np.array([end_id], dtype="<u4").tobytes(), 4, 0
         for batch in batches:
-            for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
+            for lo, hi in column_slices(batch.column(1), slice_bytes):
                 row, start, length, crc, whole, ids = [], [], [], [], [], []
                 for i, e in zip(range(lo, hi), encoder.encode_column(batch.column(1).slice(lo, hi - lo))):
                     e += end
@@ -122,15 +122,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                 salt += len(row)
                 cols = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole, salts)), *([pa.array(ids, pa.binary())] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+                trim()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids
     return pick(docs, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and
-    offset within the sequence (and its ids)."""
-    pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    offset within the sequence (and its ids).
+
+    ``memo_chunks`` and ``slice_bytes`` trade a worker's memory for its time."""
+    pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_chunks, slice_bytes), "pieces")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_tokens))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")

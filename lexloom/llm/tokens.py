@@ -48,7 +48,7 @@ class ChunkEncoder:
     before a word as part of the word; the others drop white space.
     """
 
-    def __init__(self, tokenizer: str, dtype: str = "<u4"):
+    def __init__(self, tokenizer: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,6 +56,7 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         self.memo: dict[str, bytes] = {}
+        self.memo_chunks = memo_chunks
         self.keeps_space = self._ids(" b") != self._ids("b")
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.blank_first = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -165,7 +166,7 @@ class ChunkEncoder:
         wrong = np.concatenate([[0], np.cumsum(~apart)])[bounds]
         for i in np.flatnonzero(np.diff(wrong)).tolist():
             out[i] = self._pack(self._ids(column[i].as_py()))
-        if len(self.memo) < MEMO_CHUNKS:
+        if len(self.memo) < self.memo_chunks:
             self.memo.update((c, ids) for c, ids in found.items() if len(c) <= MEMO_CHARS)
         return out
 
@@ -173,11 +174,11 @@ class ChunkEncoder:
         return self.encode_column(pa.array(texts, pa.string()))
 
 
-@lru_cache(maxsize=2)
-def worker_encoder(tokenizer: str, dtype: str) -> ChunkEncoder:
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer: str, dtype: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
     """The encoder of this Python worker: tasks that follow one another in a
     worker share its memo."""
-    return ChunkEncoder(tokenizer, dtype)
+    return ChunkEncoder(tokenizer, dtype, memo_chunks)
 
 
 def release() -> None:
