@@ -17,11 +17,20 @@ CONTEXT_PREFIX = r"(?i).*?Text:"
 PAGE_SINGLE = r"page_content='([^']*)'"
 PAGE_EITHER = r"""page_content=(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")"""
 SCORE = r"relevance_score': ([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
-PUNCTUATION = (".", ",", "!", "?", ":", ";", "…")
+#: Tokens that take no blank before them.
+PUNCTUATION = (",", ".", "!", "?", ":", ";", "...")
 
 #: Escapes and what they decode to, in the order applied; the
 #: first makes a double escape decode twice.
-ESCAPES = (("\\\\", "\\"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\/", "/"))
+ESCAPES = (
+    ("\\\\", "\\"),
+    ('\\"', '"'),
+    ("\\b", "\b"),
+    ("\\f", "\f"),
+    ("\\n", "\n"),
+    ("\\r", "\r"),
+    ("\\t", "\t"),
+)
 
 
 def part(col: Column | str, sep: str, i: int) -> Column:
@@ -233,6 +242,13 @@ def split_recursively(texts: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else cut(t, int(n), ("\n\n", "\n", ". ", " ")) for t, n in zip(texts, size)])
 
 
+def array_batches(array: Column | str, size: int) -> Column:
+    """An array cut into arrays of ``size`` items, the last one shorter."""
+    items = F.col(array) if isinstance(array, str) else array
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.when(items.isNotNull(), F.transform(starts, lambda i: F.slice(items, i, F.lit(size))))
+
+
 def chunks(col: Column | str, size: int, overlap: int = 0) -> Column:
     """Pieces of ``size`` characters, each ``overlap`` into the one before."""
     text = F.col(col) if isinstance(col, str) else col

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, tokenize
+from ..functions.text import TOKEN, tidy_punctuation, tokenize
 
 
 def exploded_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,6 +84,37 @@ def merge_adjacent(entities: Column | str) -> Column:
     return F.aggregate(entities, F.array().cast(_ENTITY), add)
 
 
+def highlight(tokens: Column | str, ner: Column | str) -> Column:
+    """Stretches of text with their label (null outside entities), in order:
+    each entity, and each run of tokens between entities, joined by blanks with
+    none before punctuation.  ``ner`` holds (start_tok, end_tok, label), ends
+    included; of entities over one token the first in the list counts."""
+    of = lambda i: F.get(F.filter(F.transform(ner, lambda e, k: F.struct(k.alias("k"), e["start_tok"].alias("s"), e["end_tok"].alias("e"), e["label"].alias("label"))), lambda e: (e["s"] <= i) & (i <= e["e"])), F.lit(0))
+    named = F.transform(tokens, lambda t, i: F.struct(F.coalesce(of(i)["k"], F.lit(-1)).alias("k"), of(i)["label"].alias("label"), t.alias("text")))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["k"].alias("k"), last["label"].alias("label"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"))
+        return F.when(F.size(acc) == 0, F.array(x)).when(last["k"] == x["k"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    runs = F.aggregate(named, F.array().cast("array<struct<k:int,label:string,text:string>>"), add)
+    return F.transform(runs, lambda x: F.struct(tidy_punctuation(x["text"]).alias("text"), x["label"].alias("label")))
+
+
+def tokens_and_labels(entries: Column | str) -> Column:
+    """Labelled pieces of text (token, label) to all their tokens and the token
+    spans of the labelled ones, ends included."""
+    zero = F.struct(F.array().cast("array<string>").alias("tokens"), F.array().cast("array<struct<start_tok:int,end_tok:int,label:string>>").alias("ner"))
+
+    def add(acc: Column, x: Column) -> Column:
+        own, at = tokenize(x["token"]), F.size(acc["tokens"])
+        span = F.array(F.struct(at.alias("start_tok"), (at + F.size(own) - 1).alias("end_tok"), x["label"].alias("label")))
+        labelled = F.coalesce(x["label"] != "", F.lit(False))
+        return F.struct(F.concat(acc["tokens"], own).alias("tokens"), F.when(labelled, F.concat(acc["ner"], span)).otherwise(acc["ner"]).alias("ner"))
+
+    return F.aggregate(entries, zero, add)
+
+
 def first_subsequence(tokens: Column, wanted: Column) -> Column:
     """The first place where one token list stands in another; null if nowhere
     or if the wanted list is empty or longer."""

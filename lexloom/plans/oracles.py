@@ -76,7 +76,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, count(*) AS n_all, count(DISTINCT source) AS n_distinct FROM u GROUP BY lang""",
     "last_write_wins": "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "tokenize_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n_tokens FROM documents",
-    "detokenize_md5": f"""SELECT conv_id, turn, md5(coalesce(list_reduce(regexp_extract_all(coalesce(text, ''), '{TOKEN}'), lambda a, t: CASE WHEN t IN ('.', ',', '!', '?', ':', ';', '…') OR a = '' THEN a || t ELSE a || ' ' || t END, ''), '')) AS text_md5 FROM conversations""",
+    "detokenize_md5": f"""SELECT conv_id, turn, md5(coalesce(list_reduce(regexp_extract_all(coalesce(text, ''), '{TOKEN}'), lambda a, t: CASE WHEN t IN (',', '.', '!', '?', ':', ';', '...') OR a = '' THEN a || t ELSE a || ' ' || t END, ''), '')) AS text_md5 FROM conversations""",
     "tidy_punctuation": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '([,.!?])', ' \1', 'g'), '\s([,.!?…:;])', '\1', 'g')) AS text_md5 FROM conversations",
     "prompt_format": "SELECT p_partkey, 'Question: ' || p_name || chr(10) || 'Options: 1) ' || p_brand || ' 2) ' || p_type || ' 3) ' || CASE WHEN p_size > 25 THEN p_size::VARCHAR ELSE 'nan' END || ' 4) ' || p_name AS prompt FROM part",
     "python_dict_text": "SELECT p_partkey, p_name || ': {''A'': ''' || p_brand || ''', ''B'': ''' || p_type || '''}' AS question FROM part",
@@ -86,7 +86,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, md5(c[1]) AS content_1, md5(c[2]) AS content_2, md5(c[3]) AS content_3, md5(c[4]) AS content_4, round(list_avg(s[1:4]), 6) AS mean_relevance_score FROM p""",
     "context_parse_literal": f"WITH {PRINTED} SELECT conv_id, len(regexp_extract_all(documents, 'page_content=''([^'']*)''', 1)) AS n, md5(array_to_string(regexp_extract_all(documents, 'page_content=''([^'']*)''', 1), '|')) AS contents_md5 FROM printed",
     "decode_escapes": r"""WITH r AS (SELECT conv_id, turn, replace(replace(text, chr(10), '\n'), ',', '\\n') AS t FROM conversations)
-        SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(replace(replace(replace(t, '\\', '\'), '\n', chr(10)), '\r', chr(13)), '\t', chr(9)), '\b', chr(8)), '\f', chr(12)), '\"', '"'), '\/', '/')) AS text_md5 FROM r""",
+        SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(replace(replace(t, '\\', '\'), '\"', '"'), '\b', chr(8)), '\f', chr(12)), '\n', chr(10)), '\r', chr(13)), '\t', chr(9))) AS text_md5 FROM r""",
     "chunk_text": "SELECT doc_id, i AS pos, md5(substr(text, 1 + i * 1024, 1024)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range((length(text) + 1023) // 1024)) AS i FROM documents)",
     "json_extract_validate": "SELECT json_extract(props, '$.k') IS NOT NULL AS valid, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS sum_k FROM events GROUP BY 1",
     "option_extraction": "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_size % 4 + 1 END AS option FROM part",

@@ -40,17 +40,17 @@ NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 #: Entity classes and relation types of the typed extractions.
 ENTITY_TYPES = ("CHEMICAL", "GENE")
 PREDICATES = (
+    "INDIRECT-DOWNREGULATOR",
+    "INDIRECT-UPREGULATOR",
+    "DIRECT-REGULATOR",
     "ACTIVATOR",
+    "INHIBITOR",
     "AGONIST",
     "AGONIST-ACTIVATOR",
     "AGONIST-INHIBITOR",
     "ANTAGONIST",
-    "DIRECT-REGULATOR",
-    "INDIRECT-DOWNREGULATOR",
-    "INDIRECT-UPREGULATOR",
-    "INHIBITOR",
-    "PART-OF",
     "PRODUCT-OF",
     "SUBSTRATE",
     "SUBSTRATE_PRODUCT-OF",
+    "PART-OF",
 )

@@ -113,3 +113,13 @@ def test_runs_and_offsets(spark):
     assert [r.run for r in spans.runs(df, ["k"], [F.col("i")], "x").orderBy("i").collect()] == [1, 1, 2, 2, 3, 4]
     off = spans.running_offset(df, ["k"], [F.col("i")], F.lit(2)).orderBy("i").collect()
     assert [r.offset for r in off] == [0, 2, 4, 6, 8, 10]
+
+
+def test_highlight_and_back(spark):
+    kind = "tokens array<string>, ner array<struct<start_tok:int,end_tok:int,label:string>>"
+    df = spark.createDataFrame([(["a", ",", "b", "c", "d", "."], [(2, 3, "G"), (4, 4, "C")]), ([], [])], kind)
+    got = [[tuple(x) for x in r.h] for r in df.select(spans.highlight("tokens", "ner").alias("h")).collect()]
+    assert got == [[("a,", None), ("b c", "G"), ("d", "C"), (".", None)], []]
+    back = spark.createDataFrame([([("a, ", None), ("b-x c", "G"), ("d", "")],)], "e array<struct<token:string,label:string>>")
+    r = back.select(spans.tokens_and_labels("e").alias("r")).collect()[0].r
+    assert r.tokens == ["a", ",", "b-x", "c", "d"] and [tuple(x) for x in r.ner] == [(2, 3, "G")]

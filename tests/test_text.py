@@ -51,7 +51,7 @@ def test_escapes_keep_their_order(spark):
 
 
 def test_detokenize_and_punctuation(spark):
-    assert one(spark, ["a", ",", "b", "…"], X.detokenize("c"), "array<string>") == "a, b…"
+    assert one(spark, ["a", ",", "b", "…"], X.detokenize("c"), "array<string>") == "a, b …"
     assert one(spark, "a , b ! c", X.tidy_punctuation("c")) == "a, b! c"
 
 
@@ -76,6 +76,11 @@ def test_chunks(spark):
     assert "".join(got) == long and max(map(len, got)) <= 12
 
 
+def test_array_batches(spark):
+    assert one(spark, [1, 2, 3, 4, 5], X.array_batches("c", 2), "array<int>") == [[1, 2], [3, 4], [5]]
+    assert one(spark, [], X.array_batches("c", 2), "array<int>") == [] and one(spark, None, X.array_batches("c", 2), "array<int>") is None
+
+
 def test_lookup_and_pick(spark):
     assert one(spark, "b", X.lookup({"a": 1, "b": 2}, F.col("c"), -1)) == 2
     assert one(spark, "z", X.lookup({"a": 1}, F.col("c"), -1)) == -1
