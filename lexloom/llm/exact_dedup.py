@@ -54,6 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct((-F.col("points")).alias("minus"), F.col("id").isNull().alias("no_id"), F.col("id")))
     groups = level3.where("doubtful").groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = groups.select(*(F.col(k).alias(f"g_{k}") for k in key), F.col("best.id").alias("keep"), (-F.col("best.minus")).alias("keep_points"), "size")
+    # Written, so that both sides of the join are plain exchanges and a hot group
+    # can be split over tasks.
+    groups = stage(groups, "exact-groups")
     same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"g_{k}") for k in key))
     out = level3.join(groups, same, "left")
     alone = F.col("size").isNull()
