@@ -52,15 +52,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Stages that this process has written and not yet removed.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, and a
     lost executor costs no more than the tasks it was running."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all stages of this process.  Results that still read them must be
+    written first."""
+    while _STAGED:
+        drop_staged(spark, _STAGED.pop())
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Remove a stage by Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm

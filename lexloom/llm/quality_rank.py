@@ -165,4 +165,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             yield pd.Series([float(model.score(np.array([features(t or "")]))[0]) for t in texts], dtype="float64")
         trim()
 
-    return docs.where(score(docs[text_col]) >= model.cut)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.where(score(f"c{names.index(text_col)}") >= model.cut).toDF(*names)

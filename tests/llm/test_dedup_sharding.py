@@ -83,3 +83,14 @@ def test_weights_and_empty(spark):
     new = {r.doc_id: r.shard for r in sharding.shard(docs, [1.0, 1.0, 2.0]).collect()}
     assert all(old[i] == new[i] or new[i] == 2 for i in old)
     assert sharding.shard(docs.limit(0)).collect() == []
+
+
+def test_stages_are_cleared(spark):
+    from lexloom.llm import common
+
+    staged = common.stage(spark.range(3).toDF("a"), "x")
+    assert staged.count() == 3 and common._STAGED
+    common.clear_stages(spark)
+    assert not common._STAGED
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        staged.collect()
