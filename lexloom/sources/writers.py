@@ -46,10 +46,10 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def json_array(df: DataFrame, limit: int = 10_000) -> str:
     """A small table as one JSON array; refuses tables over ``limit`` rows."""
-    rows = df.limit(limit + 1).toJSON().collect() if hasattr(df, "toJSON") else []
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows; use write_json_lines")
-    return json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2)
+    return json.dumps([json.loads(r.j) for r in rows], ensure_ascii=False, indent=2)
 
 
 def write_span_corpus(df: DataFrame, path: str) -> None:
