@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import pieces, strip_characters, tokenize
+from .stats import digest
 
 #: Over so many single-word terms a join on tokens is used in place of a pattern.
 PATTERN_TERMS = 200
@@ -38,6 +39,12 @@ def any_item_matches(array: Column | str, pattern: str) -> Column:
     return F.coalesce(F.exists(array, lambda x: x.rlike(pattern)), F.lit(False))
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each distinct row once, told apart by a digest of all its columns: those
+    that a later step doesn't use aren't shuffled."""
+    return df.withColumn("_digest", digest(*df.columns)).dropDuplicates(["_digest"]).drop("_digest")
+
+
 def match_any(df: DataFrame, columns: Sequence[str], pattern: str, dedupe: bool = True) -> DataFrame:
     """Rows that match in any of several columns, in one scan.
 
@@ -45,7 +52,7 @@ def match_any(df: DataFrame, columns: Sequence[str], pattern: str, dedupe: bool
     columns of it match, as a union of one arm for each column gives."""
     arms = [contains_term(c, pattern) for c in columns]
     if dedupe:
-        return df.where(reduce(lambda a, b: a | b, arms)).dropDuplicates()
+        return distinct_rows(df.where(reduce(lambda a, b: a | b, arms)))
     hits = F.array_compact(F.array(*(F.when(a, F.lit(c)) for a, c in zip(arms, columns))))
     return df.withColumn("_arm", F.explode(hits)).drop("_arm")
 
@@ -68,4 +75,4 @@ def filter_by_terms(df: DataFrame, columns: Sequence[str], terms: Sequence[str],
     lexicon = spark.createDataFrame([(t.lower(),) for t in terms], "token string")
     every = F.array_distinct(F.flatten(F.array(*(F.transform(tokenize(F.coalesce(c, F.lit(""))), F.lower) for c in columns))))
     hit = df.select(key, F.explode(every).alias("token")).join(lexicon, "token", "left_semi").select(key).distinct()
-    return df.join(hit, key, "left_semi").dropDuplicates()
+    return distinct_rows(df.join(hit, key, "left_semi"))

@@ -82,11 +82,17 @@ def flag_maximum(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
 
 def keep_first(df: DataFrame, subset: Sequence[str], pos: str) -> DataFrame:
     """The first row, by ``pos``, of each distinct combination; rows are found by
-    a pre-aggregated minimum, so equal ones never gather in one task."""
-    first = df.groupBy(*subset).agg(F.min(pos).alias("_first")).select("_first")
+    a pre-aggregated minimum, so equal ones never gather in one task, and by
+    digests, so long texts aren't shuffled to be compared."""
+    first = df.groupBy(digest(*subset).alias("_digest")).agg(F.min(pos).alias("_first")).select("_first")
     return df.join(first, F.col(pos) == F.col("_first"), "left_semi")
 
 
+def digest(*columns: str) -> Column:
+    """SHA-256 over the columns' values; null differs from every value."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
 def first_seen(df: DataFrame, label: str, pos: str) -> DataFrame:
     """Distinct labels in order of first appearance."""
     return df.groupBy(label).agg(F.min(pos).alias("first_pos")).orderBy("first_pos", label)
