@@ -50,7 +50,7 @@ PERCENT = 75
 #: Least estimate from bit counts that goes on to the exact check.
 ESTIMATE = 0.5
 #: Classes of one candidate group that a task holds, twice.
-BLOCK = 2_048
+BLOCK = 1_024
 SLICE_CHARS = 1_000_000
 
 _RNG = np.random.default_rng(77)
