@@ -14,13 +14,16 @@ RANK_BUCKETS = 512
 CUTS = 128
 
 
-def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], out: str) -> DataFrame:
+def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], out: str, counts_from: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... within each group, by ``bucket``, then
     ``order``.  Buckets are numbered apart and offset by prefix sums, so a group
     of any size is spread over many tasks.  ``bucket`` must be a function of the
-    row that rises with the order wanted, or any hash if only a fixed order is."""
+    row that rises with the order wanted, or any hash if only a fixed order is.
+    ``counts_from`` may give the same rows with fewer columns, to be counted
+    without reading wide ones."""
     rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows if counts_from is None else counts_from.withColumn("_bucket", bucket)
+    counts = counted.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     names = {g: f"_g{i}" for i, g in enumerate(groups)}
     offsets = counts.select(*(F.col(g).alias(n) for g, n in names.items()), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
