@@ -1,5 +1,5 @@
 """What the corpus operators share: column picking, stages in the shared
-folder, and gapless numbering of groups of any size."""
+folder, slices of texts in workers, and bitmaps of keys."""
 
 from __future__ import annotations
 
@@ -7,19 +7,16 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that every text contract here means: blank and U+0009..U+000D.
 SPACE = " \t\n\x0b\x0c\r"
-#: Buckets into which one group is dealt when its rows are numbered.  Bounds the
-#: broadcast of bucket offsets: groups x RANK_BUCKETS rows.
-RANK_BUCKETS = 512
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -80,10 +77,6 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def hash_bucket(n: int, *cols: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-
-
 def trim() -> None:
     """Hands memory that a worker no longer uses back to the machine; workers
     stay alive between tasks, beside the executor's own heap."""
@@ -122,32 +115,14 @@ def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[st
         yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
-def number_groups(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], out: str, counts_from: DataFrame | None = None) -> DataFrame:
-    """Adds ``out``: 0, 1, 2, ... within each group, by bucket, then ``order``.
-
-    A group may hold any share of the rows: it is dealt over the buckets, each
-    bucket is numbered by itself, and bucket offsets (prefix sums over at most
-    groups x RANK_BUCKETS counts) are added.  ``counts_from`` may give the same
-    rows with fewer columns, to count without reading wide ones."""
-    rows = df.withColumn("_bucket", bucket)
-    counts = (counts_from.withColumn("_bucket", bucket) if counts_from is not None else rows).groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    rows = rows.withColumn("_in_bucket", F.row_number().over(within).cast("long") - 1)
-    same = F.col("_bucket") == F.col("_b")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return rows.join(F.broadcast(offsets), same).withColumn(out, F.col("_offset") + F.col("_in_bucket")).drop("_b", "_bucket", "_offset", "_in_bucket", *(f"_g{i}" for i in range(len(groups))))
-
-
-#: 64-bit words of a bitmap over hashed keys: 4,194,304 bits in at most 65,536
-#: rows of 16 bytes, whatever it is made of.
-BITMAP_WORDS = 1 << 16
+#: A bitmap over hashed keys has 2^16 words of 64 bits: 4,194,304 bits in at most
+#: 65,536 rows of 16 bytes, whatever it is made of.
+WORD_BITS = 16
 
 
 def _place(key: str) -> tuple[str, str]:
-    return f"cast(shiftrightunsigned(xxhash64({key}), 48) AS int)", f"cast(shiftrightunsigned(xxhash64({key}), 42) & 63L AS int)"
+    """The word of a key, from the top bits of its hash, and its bit there."""
+    return f"cast(shiftrightunsigned(xxhash64({key}), {64 - WORD_BITS}) AS int)", f"cast(shiftrightunsigned(xxhash64({key}), {58 - WORD_BITS}) & 63L AS int)"
 
 
 def bitmap_of(df: DataFrame, key: str) -> DataFrame:

@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANK_BUCKETS, number_groups, pick
+from ..operators.ranking import RANK_BUCKETS, number_groups
+from .common import pick
 
 BLOCK_ROWS = 64
 PERIOD = 1_024

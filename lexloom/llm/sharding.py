@@ -18,7 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANK_BUCKETS, number_groups, pick, stage
+from ..operators.ranking import RANK_BUCKETS, number_groups
+from .common import pick, stage
 
 
 def _unit(key: Column, shard: int) -> Column:
