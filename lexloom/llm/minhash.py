@@ -49,8 +49,10 @@ BITS = 2
 PERCENT = 75
 #: Least estimate from bit counts that goes on to the exact check.
 ESTIMATE = 0.5
-#: Classes of one candidate group that a task holds, twice.
+#: Classes of one candidate group, and hashes of their sets, that a task holds,
+#: twice; either bound cuts a group into blocks.
 BLOCK = 1_024
+BLOCK_HASHES = 1 << 20
 SLICE_CHARS = 1_000_000
 
 _RNG = np.random.default_rng(77)
@@ -208,9 +210,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = pairs.where(estimate("l_", "r_") >= ESTIMATE).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     candidates = components(likely.unionByName(edges.where("NOT pair").select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "candidates")
 
-    groups = candidates.select(F.col("a").alias("member"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("member"), F.col("root").alias("g")).distinct())
-    sizes = candidates.groupBy("root").agg((F.floor((F.count(F.lit(1)) + 1 + BLOCK - 1) / BLOCK)).cast("int").alias("blocks"))
-    groups = stage(groups.join(sizes, F.col("g") == F.col("root")).drop("root"), "groups")
+    members = candidates.select(F.col("a").alias("member"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("member"), F.col("root").alias("g")).distinct())
+    sized = stage(members.join(classes.select(F.col("rep").alias("member"), "n"), "member"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
+    sizes = sized.groupBy("g").agg(blocks.alias("blocks")).withColumnRenamed("g", "_g")
+    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks"), "groups")
 
     wanted = where_in_bitmap(rows.where("id IS NOT NULL"), "id", bitmap_of(groups, "member"))
     sets = set_table(wanted.select("id", "text")).join(groups, F.col("id") == F.col("member")).drop("member").dropDuplicates(["id", "hashes"])

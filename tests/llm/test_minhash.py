@@ -53,9 +53,10 @@ def corpus(seed, n=120):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 4])
-def test_equal_to_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,hashes", [(minhash.BLOCK, minhash.BLOCK_HASHES), (4, minhash.BLOCK_HASHES), (minhash.BLOCK, 300)])
+def test_equal_to_brute_force(spark, monkeypatch, block, hashes):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_HASHES", hashes)
     rows = corpus(11)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
