@@ -104,6 +104,19 @@ ORACLE_SQL: dict[str, str] = {
                     OR 2 * n_marks > n_words) AS kept
         FROM m LEFT JOIN c USING (doc_id)
     """,
+    # crc32 byte by byte from its table, which its polynomial gives.
+    "op8_rendezvous_shards": r"""
+        WITH tab AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+             b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM documents),
+             c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+             s AS (SELECT *, unnest(range(17)) AS s FROM c),
+             h AS (SELECT *, 1 / -ln((('0x' || substr(md5(doc_id || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) AS score FROM s),
+             g AS (SELECT doc_id, any_value(size) AS size, any_value(text_crc32) AS text_crc32, arg_max(s, score) FILTER (s < 16) AS shard, arg_max(s, score) AS grown_shard FROM h GROUP BY doc_id)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id || ':' || text_crc32 || ':slot'), 1, 8))::BIGINT % 512, doc_id, size, text_crc32) - 1 AS slot,
+               grown_shard::INTEGER AS grown_shard
+        FROM g
+    """,
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
              h AS (SELECT doc_id, points, sha256(t) AS text_sha256 FROM d)
