@@ -33,9 +33,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences.  Workers keep to less memory than when
+    """Pieces of documents in sequences, which follow the order of the schedule
+    by groups.  Workers keep to less memory than when
     packing is all that executors do."""
-    return packing.pack(docs, memo_chunks=200_000, slice_bytes=4_000_000)
+    return packing.pack(docs, memo_chunks=200_000, slice_bytes=4_000_000, in_order=True)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", pack)]

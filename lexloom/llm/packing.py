@@ -10,9 +10,9 @@ window of one onto the emptiest of the other, until one partition is left.
 Whenever its fullest window exceeds the capacity the window count rises and the
 group is partitioned anew.
 
-Only lengths reach the groups.  A group's rows are bounded in expectation by
-GROUP_TOKENS whatever the data: equal rows are spread by their place in the
-input.
+Only lengths reach the groups.  A group's rows are bounded by GROUP_TOKENS
+whatever the data, by hash in expectation: equal rows are spread by their place
+in the input.
 
 Defined results: null text counts as empty and gives the end id alone; repeated
 rows are all packed; null ids are packed as any other; an empty table gives no
@@ -22,12 +22,14 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_slices, pick, stage, trim, trimmed
@@ -40,6 +42,8 @@ CAPACITY = 4_096
 GROUP_TOKENS = 1 << 20
 #: Windows that one group can have, far more than its tokens allow.
 GROUP_WINDOWS = 1 << 24
+#: Rows of a file for which the driver holds one sum of tokens.
+RUN_ROWS = 1_024
 
 
 def differencing(sizes: Sequence[int], windows: int) -> list[list[int]]:
@@ -95,11 +99,12 @@ def pack_sizes(sizes: Sequence[int], capacity: int = CAPACITY) -> list[list[int]
         windows = min(len(sizes), max(windows + 1, int(windows * (1 + 0.5 * (fullest - capacity) / capacity))))
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES, places: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, salt, and its ids as
-    little-endian 32-bit integers if wanted."""
+    little-endian 32-bit integers if wanted; with ``places`` also its row's file
+    and place there."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "salt", *(["ids"] if with_ids else [])]
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "salt", *(["ids"] if with_ids else []), *(["file", "at"] if places else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer, "<u4", memo_chunks)
@@ -121,22 +126,61 @@ def cut_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
                 salts = np.arange(salt, salt + len(row), dtype=np.int64)
                 salt += len(row)
                 cols = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole, salts)), *([pa.array(ids, pa.binary())] if with_ids else [])]
+                cols += [batch.column(k).take(pa.array(row, pa.int64())) for k in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 trim()
 
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids
-    return pick(docs, id=id_col, text=text_col).mapInArrow(trimmed(run), schema)
+    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids + ", file string, at long" * places
+    rows = pick(placed_rows(docs), id=id_col, text=text_col, file="_file", at="_at") if places else pick(docs, id=id_col, text=text_col)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """Adds each row's file and place there (_file, _at), or its partition and
+    place there for rows that come from no file."""
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return docs.select("*", F.format_string("part-%d", F.shiftright(at, 33)).alias("_file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+
+
+def file_order(path: str) -> tuple[int, str]:
+    """Files in the order of the partitions that wrote them."""
+    found = re.match(r"part-(\d+)", path.rsplit("/", 1)[-1])
+    return int(found[1]) if found else -1, path
+
+
+def deal_runs(pieces: DataFrame, group_tokens: int) -> DataFrame:
+    """``pieces`` with their group: the rows' order is cut whenever another
+    ``group_tokens`` tokens are full."""
+    run = F.expr(f"at div {RUN_ROWS}L")
+    # Bounded: a row for each file and RUN_ROWS rows of it.
+    sums = pieces.groupBy("file", run.alias("run")).agg(F.sum("length").alias("n")).toArrow().to_pylist()
+    sums.sort(key=lambda r: (*file_order(r["file"]), r["run"]))
+    n = np.array([r["n"] for r in sums], dtype=np.int64)
+    table = pa.table({"_file": pa.array([r["file"] for r in sums], pa.string()), "_run": pa.array([r["run"] for r in sums], pa.int64()), "_serial": np.arange(len(n)), "_before": np.cumsum(n) - n})
+    runs = F.broadcast(pieces.sparkSession.createDataFrame(table))
+    met = pieces.join(runs, (F.col("file") == F.col("_file")) & (run == F.col("_run"))).drop("file", "_file", "_run")
+    within = Window.partitionBy("_serial").orderBy("at", "start").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("length").over(within), F.lit(0))
+    return met.withColumn("_tokens", before).withColumn("group", F.expr(f"_tokens div {group_tokens}L")).drop("_tokens", "_before", "_serial", "at", "salt")
+
+
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES, in_order: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and
     offset within the sequence (and its ids).
 
-    ``memo_chunks`` and ``slice_bytes`` trade a worker's memory for its time."""
-    pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_chunks, slice_bytes), "pieces")
-    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    groups = max(1, -(-total // group_tokens))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
+    ``memo_chunks`` and ``slice_bytes`` trade a worker's memory for its time.
+    With ``in_order`` groups are successive runs of the rows as their files hold
+    them, so that sequence_id follows that order, group by group."""
+    pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_chunks, slice_bytes, in_order), "pieces")
+    if in_order:
+        dealt = deal_runs(pieces, group_tokens)
+    else:
+        total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        groups = max(1, -(-total // group_tokens))
+        dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
 
     def run(table: pa.Table) -> pa.Table:
         length, group = table.column("length").to_numpy(), table.column("group")[0].as_py()

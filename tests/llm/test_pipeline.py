@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lexloom.llm import quality_rank
+from lexloom.llm import mixing, packing, quality_rank
 from test_minhash import brute, brute_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,3 +52,41 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in kept["pack"]} == {r.doc_id for r in kept["mix"]} and all(brute_set(texts[r.doc_id]) for r in kept["pack"])
     again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, again)) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in kept["pack"])
+
+
+def test_packing_follows_the_schedule(spark, tmp_path):
+    rng = random.Random(5)
+    # Files by source, as no schedule would have them.
+    docs = [(i, " ".join("w%d" % rng.randint(0, 99) for _ in range(rng.randint(5, 60))), "en", "a" if i < 600 else "b", 0) for i in range(800)]
+    spark.createDataFrame(docs, DOCS).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    plain = spark.read.parquet(f"{tmp_path}/docs")
+    corpus_pipeline.mix(spark, plain, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    position = {r.doc_id: r.position for r in mixing.schedule(plain).collect()}
+
+    def packed(frame):
+        rows = packing.pack(frame, capacity=64, group_tokens=8192, in_order=True).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault(r.sequence_id // packing.GROUP_WINDOWS, []).append(r)
+        return rows, groups
+
+    rows, groups = packed(mixed)
+    assert len(groups) == -(-sum(r.length for r in rows) // 8192) and sorted(groups) == list(range(len(groups)))
+    ends = [(min(position[r.doc_id] for r in groups[g]), max(position[r.doc_id] for r in groups[g])) for g in sorted(groups)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    without, dropped = packed(plain)
+    place = lambda r: (r.doc_id, r.start)
+    assert sorted(map(place, rows)) == sorted(map(place, without))
+    assert sorted(map(tuple, rows)) != sorted(map(tuple, without))
+    # Mixing brings the second source forward.
+    first = lambda g: min(k for k in g if any(docs[r.doc_id][3] == "b" for r in g[k]))
+    assert first(groups) < first(dropped)
+
+
+def test_rows_from_no_file_are_packed_in_order(spark):
+    frame = spark.createDataFrame([(i, "w", "en", "a", 0) for i in range(100)], DOCS)
+    got = packing.pack(frame, capacity=16, group_tokens=64, in_order=True).collect()
+    at = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id // packing.GROUP_WINDOWS, r.doc_id))]
+    assert at == list(range(100))
+    assert packing.pack(frame.limit(0), in_order=True).collect() == []
