@@ -69,3 +69,28 @@ def test_odd_tables(spark):
     assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, docs.collect()))
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.schedule(empty).collect() == [] and mixing.mixed(empty).collect() == []
+
+
+def test_true_weights_over_a_long_run():
+    # 20 equal sources, no multiple of 1/1024, and one far below it.
+    for weights in ([0.05] * 20, [0.7, 0.3 - 1e-5, 1e-5]):
+        blocks = [int(w * 200_000) for w in weights]
+        parts, true = mixing.block_parts(blocks, weights)
+        assert np.allclose(true, weights, rtol=1e-12)
+        source, block, slot = mixing.pfair_blocks(blocks, parts)
+        assert len(source) == sum(blocks) and np.all(np.diff(slot) > 0)
+        for i, w in enumerate(true):
+            own, at = block[source == i], slot[source == i]
+            assert own.tolist() == list(range(blocks[i]))
+            assert np.all(at >= np.floor(own / w - 1e-6)) and np.all(at < np.ceil((own + 1) / w + 1e-6))
+
+
+def test_weight_column_is_true(spark):
+    docs, rows = table(spark, {"s%02d" % i: 10 for i in range(20)})
+    assert {round(r.weight, 12) for r in mixing.schedule(docs).collect()} == {0.05}
+
+
+def test_extreme_weights_take_no_more_steps():
+    source, block, slot = mixing.pfair_blocks([1000, 1000], mixing.exact_parts([1.0, 1e-9]))
+    assert len(slot) == 2000 and slot[-1] > 990 * 10**9
+    assert mixing.pfair_blocks([2, 3], [1, 0])[0].tolist() == [0, 0, 1, 1, 1]
