@@ -13,8 +13,9 @@ within their source and meet their block.  The driver holds an entry for each
 source and each block, never a row.  Each document is given out once.  A source
 that runs out leaves its slots empty, so the others go on in proportion.
 
-Defined results: the MAX_SOURCES most frequent sources are told apart; null and
-all other sources share one weight, as a source named in no weight does; sources of weight zero come last; rows
+Defined results: every source is told apart, whatever their number; null is a
+source of its own; where weights are given, null and all sources that they do
+not name share one weight; sources of weight zero come last; rows
 with a null id and repeated rows are scheduled as any other; an empty table
 gives no rows; extra columns are kept by ``mixed`` and ignored by ``schedule``.
 """
@@ -36,7 +37,6 @@ from .common import pick
 
 BLOCK_ROWS = 64
 PERIOD = 1_024
-MAX_SOURCES = 255
 #: Slots, as a multiple of all blocks, for which sources that ran out keep theirs.
 EMPTY_TURNS = 4
 #: Rows of a source for each bucket that numbers them.
@@ -159,7 +159,7 @@ def _scheduled(rows: DataFrame, weights: Mapping[str, float] | None, block_rows:
     if weights is not None:
         named = named.where(F.col("source").isin([x for x in weights if x is not None]))
     # A row for each source, two columns, as Arrow.
-    top = sorted(zip(*(c.to_pylist() for c in named.select("source", "n").toArrow().columns)), key=lambda r: (-r[1], r[0]))[:MAX_SOURCES]
+    top = sorted(zip(*(c.to_pylist() for c in named.select("source", "n").toArrow().columns)), key=lambda r: (-r[1], r[0]))
     names, sizes = [x for x, _ in top], [n for _, n in top]
     given = [float(weights[x]) if weights is not None else (n / total) ** TEMPERATURE for x, n in top]
     rest = total - sum(sizes)

@@ -94,3 +94,19 @@ def test_extreme_weights_take_no_more_steps():
     source, block, slot = mixing.pfair_blocks([1000, 1000], mixing.exact_parts([1.0, 1e-9]))
     assert len(slot) == 2000 and slot[-1] > 990 * 10**9
     assert mixing.pfair_blocks([2, 3], [1, 0])[0].tolist() == [0, 0, 1, 1, 1]
+
+
+def test_every_source_has_its_own_weight(spark):
+    sizes = {"s%03d" % i: 3 for i in range(300)} | {"rare": 1}
+    docs, rows = table(spark, sizes)
+    got = mixing.schedule(docs, block_rows=1).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    assert len({r.slot for r in got}) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r.block)
+    assert {s: sorted(b) for s, b in by.items()} == {s: list(range(n)) for s, n in sizes.items()}
+    # A named source counts, however few rows it has.
+    got = mixing.schedule(docs, {"rare": 0.75, "s000": 0.2, None: 0.05}, block_rows=1).collect()
+    assert {(r.source if r.source in ("rare", "s000") else None, round(r.weight, 12)) for r in got} == {("rare", 0.75), ("s000", 0.2), (None, 0.05)}
+    assert [r.slot for r in got if r.source == "rare"] == [0]
