@@ -7,12 +7,13 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that every text contract here means: blank and U+0009..U+000D.
@@ -144,14 +145,22 @@ def where_in_bitmap(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     return flag_by_bitmap(df, key, bitmap, "_maybe").where("_maybe").drop("_maybe")
 
 
-def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped`` (one column, ``id``), columns as
-    they were.  Rows that the bitmap clears pass as they are; only the rest,
-    the dropped and a few by chance, are shuffled for the exact anti-join."""
+def drop_rows(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame, quick: Mapping[str, Callable[[Column, Column], Column]], exact: Mapping[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` names, columns as they were.
+    A row is known by all of ``quick`` and ``exact``, each made from its id and
+    text and a column of ``dropped``; nulls equal each other.  Rows that the
+    bitmap of the quick ones clears pass as they are; only the rest, the dropped
+    and a few by chance, take the exact ones too and are shuffled for the exact
+    anti-join."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{names.index(id_col)}"
-    marked = flag_by_bitmap(plain, key, bitmap_of(dropped, "id"), "_maybe")
+    row = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    known = dropped.select(*(F.col(k).alias(f"_d_{k}") for k in (*quick, *exact)))
+    key = ", ".join(f"_{k}" for k in quick)
+    bitmap = bitmap_of(known.select(*(F.col(f"_d_{k}").alias(f"_{k}") for k in quick)), key)
+    marked = flag_by_bitmap(plain.withColumns({f"_{k}": f(*row) for k, f in quick.items()}), key, bitmap, "_maybe")
     clear = marked.where(~F.col("_maybe"))
-    rest = marked.where("_maybe").join(dropped.select(F.col("id").alias("_id")), F.col(key).eqNullSafe(F.col("_id")), "left_anti")
-    return clear.unionByName(rest).drop("_maybe").toDF(*names)
+    rest = marked.where("_maybe").withColumns({f"_{k}": f(*row) for k, f in exact.items()})
+    same = reduce(lambda a, b: a & b, (F.col(f"_{k}").eqNullSafe(F.col(f"_d_{k}")) for k in (*quick, *exact)))
+    kept = rest.join(known, same, "left_anti")
+    return clear.select(*plain.columns).unionByName(kept.select(*plain.columns)).toDF(*names)

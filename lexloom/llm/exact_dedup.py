@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bitmap_of, drop_ids, flag_by_bitmap, pick, stage
+from .common import SPACE, bitmap_of, drop_rows, flag_by_bitmap, pick, stage
 
 PREFIX_CHARS = 128
 
@@ -32,15 +32,20 @@ def squeezed(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c)), SPACE, F.coalesce(text, F.lit("")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
-    """Per row: id, keep_id, group_size, kept, and full_hash (null where the
-    cascade did not need it, unless ``hash_all``).
+def points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit("")))
 
-    Of equal texts the row with the most code points in its original text, then
-    the smallest id, stays."""
+
+def prefix_hash(squeezed: Column) -> Column:
+    return F.xxhash64(F.substring(squeezed, 1, PREFIX_CHARS))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, hash_all: bool) -> DataFrame:
+    """Per row: id, keep_id, group_size, kept, full_hash, points, length and
+    prefix."""
     rows = pick(docs, id=id_col, text=text_col)
-    shape = rows.select("id", F.length(F.coalesce("text", F.lit(""))).alias("points"), squeezed(F.col("text")).alias("squeezed"))
-    shape = shape.select("id", "points", "squeezed", F.length("squeezed").alias("length"), F.xxhash64(F.substring("squeezed", 1, PREFIX_CHARS)).alias("prefix"))
+    shape = rows.select("id", points(F.col("text")).alias("points"), squeezed(F.col("text")).alias("squeezed"))
+    shape = shape.select("id", "points", "squeezed", F.length("squeezed").alias("length"), prefix_hash(F.col("squeezed")).alias("prefix"))
 
     # Levels 1 and 2: length, then length and prefix hash, from one aggregate.
     doubt = shape.groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -61,17 +66,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = level3.join(groups, same, "left")
     alone = F.col("size").isNull()
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
         F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("keep_points")))).alias("kept"),
         "full_hash",
+        "points",
+        "length",
+        "prefix",
     )
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
+    """Per row: id, keep_id, group_size, kept, and full_hash (null where the
+    cascade did not need it, unless ``hash_all``).
+
+    Of equal texts the row with the most code points in its original text, then
+    the smallest id, stays."""
+    return _judged(docs, id_col, text_col, hash_all).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "full_hash")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the rows that ``exact_dedup`` drops, columns as
-    they were.  Only texts that the bitmap of dropped ids lets through are
-    shuffled."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("id")).distinct()
-    return drop_ids(docs, id_col, stage(dropped, "dropped"))
+    they were.  Rows are told apart by id, length and text, so one of another
+    text stays whatever its id.  Only texts that the bitmap of dropped rows lets
+    through are shuffled."""
+    quick = {"id": lambda i, t: i, "points": lambda i, t: points(t)}
+    exact = {"length": lambda i, t: F.length(squeezed(t)), "prefix": lambda i, t: prefix_hash(squeezed(t)), "full_hash": lambda i, t: F.sha2(squeezed(t), 256)}
+    # Rows that are dropped have equals, so their full hash is there.
+    dropped = _judged(docs, id_col, text_col, False).where(~F.col("kept")).select(*quick, *exact).distinct()
+    return drop_rows(docs, id_col, text_col, stage(dropped, "dropped"), quick, exact)

@@ -8,7 +8,8 @@ connected components of the links.
    minima give 32 keys; a pair at 0.75 shares none of them with chance
    (1 - 0.75^4)^32 = 5e-6.  The low 2 bits of the minima, packed, are kept.
 2. Documents with equal sets form one class at once, so a group of copies of
-   any size is one candidate.
+   any size is one candidate.  A class is known by a 64-bit hash of its set's
+   digest, as its least id may be another's too.
 3. Classes that share a band key are joined to a pseudo-random member of the
    bucket: as many edges as members.  Where a bucket has just two classes, their
    bit counts must allow a similarity: with collision chance 1/4, the estimate
@@ -34,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, drop_ids, pick, stage, text_slices, trim, trimmed, where_in_bitmap
+from .common import bitmap_of, drop_rows, pick, stage, text_slices, trim, trimmed, where_in_bitmap
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import release
@@ -86,7 +87,8 @@ def pack_bits(m: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """From (id, text): id, n, digest of the set, bands, and packed low bits;
-    the last three are null for empty sets."""
+    the last three are null for empty sets.  A third column, ``key``, is kept."""
+    keyed = len(docs.columns) > 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -107,9 +109,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                         packed.append([None] * len(PACKED))
                 cols = [batch.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 cols += [pa.array([p[i] for p in packed], pa.int64()) for i in range(len(PACKED))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "digest", "bands", *PACKED])
+                cols += [batch.column(2)[lo:hi]] if keyed else []
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "digest", "bands", *PACKED, *(["key"] if keyed else [])])
 
-    return docs.mapInArrow(trimmed(run), "id long, n long, digest binary, bands array<long>, " + ", ".join(f"{p} long" for p in PACKED))
+    return docs.mapInArrow(trimmed(run), "id long, n long, digest binary, bands array<long>, " + ", ".join(f"{p} long" for p in PACKED) + ", key binary" * keyed)
 
 
 def estimate(left: str, right: str):
@@ -121,7 +124,7 @@ def estimate(left: str, right: str):
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """From (id, text): id and the full set, packed."""
+    """From (id, text): id, the full set, packed, and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -129,9 +132,10 @@ def set_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(1), SLICE_CHARS):
                 sets = [s.tobytes() for s in shingler.sets(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.binary())], names=["id", "hashes"])
+                digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.binary()), pa.array(digests, pa.binary())], names=["id", "hashes", "digest"])
 
-    return docs.mapInArrow(trimmed(run), "id long, hashes binary")
+    return docs.mapInArrow(trimmed(run), "id long, hashes binary, digest binary")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -176,7 +180,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
 
 def _check(table: pa.Table) -> pa.Table:
     """One candidate group, or two blocks of one: (a, b, blocked) for each class
-    that is linked, b being the least id that it is linked with."""
+    that is linked, b being the least class that it is linked with."""
     ids = table.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
@@ -191,33 +195,41 @@ def _check(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64()), "blocked": pa.array([blocked] * int(moved.sum()), pa.bool_())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
+def text_key(text: Column) -> Column:
+    """What tells texts apart: SHA-256, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept (and its text's key)."""
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    sigs = stage(signatures(rows), "signatures")
+    extra = ["key"] if with_key else []
+    sigs = stage(signatures(rows.withColumn("key", text_key(F.col("text"))) if with_key else rows), "signatures")
 
     named = sigs.where("n > 0 AND id IS NOT NULL")
-    classes = stage(named.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", *PACKED))), "classes")
+    classes = stage(named.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", *PACKED))).withColumn("class", F.xxhash64("digest")), "classes")
 
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    keys = classes.select("class", F.explode("bands").alias("key"))
     # XOR with the key, itself random, makes the choice of the centre random.
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("least")).where("members > 1")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("class").bitwiseXOR(F.col("key"))).alias("least")).where("members > 1")
     shared = shared.select(F.col("key").alias("_key"), F.col("least").bitwiseXOR(F.col("key")).alias("centre"), (F.col("members") == 2).alias("pair"))
-    edges = keys.join(shared, F.col("key") == F.col("_key")).where("rep <> centre").groupBy("rep", "centre").agg(F.min("pair").alias("pair"))
+    edges = keys.join(shared, F.col("key") == F.col("_key")).where("class <> centre").groupBy("class", "centre").agg(F.min("pair").alias("pair"))
     edges = stage(edges, "star-edges")
-    bits = lambda to: classes.select(F.col("rep").alias(f"{to}rep"), *(F.col(p).alias(f"{to}{p}") for p in PACKED))
-    pairs = edges.where("pair").join(bits("l_"), F.col("rep") == F.col("l_rep")).join(bits("r_"), F.col("centre") == F.col("r_rep"))
-    likely = pairs.where(estimate("l_", "r_") >= ESTIMATE).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    candidates = components(likely.unionByName(edges.where("NOT pair").select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "candidates")
+    bits = lambda to: classes.select(F.col("class").alias(f"{to}class"), *(F.col(p).alias(f"{to}{p}") for p in PACKED))
+    pairs = edges.where("pair").join(bits("l_"), F.col("class") == F.col("l_class")).join(bits("r_"), F.col("centre") == F.col("r_class"))
+    likely = pairs.where(estimate("l_", "r_") >= ESTIMATE).select(F.col("class").alias("a"), F.col("centre").alias("b"))
+    candidates = components(likely.unionByName(edges.where("NOT pair").select(F.col("class").alias("a"), F.col("centre").alias("b"))), "candidates")
 
     members = candidates.select(F.col("a").alias("member"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("member"), F.col("root").alias("g")).distinct())
-    sized = stage(members.join(classes.select(F.col("rep").alias("member"), "n"), "member"), "members")
+    sized = stage(members.join(classes.select(F.col("class").alias("member"), "n", "rep"), "member"), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
     sizes = sized.groupBy("g").agg(blocks.alias("blocks")).withColumnRenamed("g", "_g")
-    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks"), "groups")
+    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks", "rep"), "groups")
 
-    wanted = where_in_bitmap(rows.where("id IS NOT NULL"), "id", bitmap_of(groups, "member"))
-    sets = set_table(wanted.select("id", "text")).join(groups, F.col("id") == F.col("member")).drop("member").dropDuplicates(["id", "hashes"])
+    wanted = where_in_bitmap(rows.where("id IS NOT NULL"), "id", bitmap_of(groups, "rep"))
+    # A class by one of its rows: its least id may have rows of other texts.
+    sets = set_table(wanted.select("id", "text")).withColumn("class", F.xxhash64("digest"))
+    sets = sets.join(groups, (F.col("class") == F.col("member")) & (F.col("id") == F.col("rep"))).select(F.col("class").alias("id"), "g", "blocks", "hashes").dropDuplicates(["id"])
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> named_struct('i', least(k, block), 'j', greatest(k, block)))")))
     links = dealt.select("id", "g", "blocks", "block", "hashes", "pair.i", "pair.j").groupBy("g", "i", "j").applyInArrow(_check, "a long, b long, blocked boolean")
@@ -227,14 +239,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not across.isEmpty():
         inside = inside.unionByName(components(across, "blocked-links"))
 
-    roots = classes.select("digest", "rep").join(inside, F.col("rep") == F.col("a"), "left").select(F.col("digest").alias("_digest"), F.coalesce("root", "rep").alias("component"))
-    out = sigs.select("id", "n", "digest").join(roots, F.col("digest") == F.col("_digest"), "left")
+    # A component is named by the least id of its classes.  Written, so that a hot
+    # component can be split over tasks.
+    linked_to = inside.unionByName(inside.select(F.col("root").alias("a"), "root").distinct())
+    of_class = stage(linked_to.join(classes.select("class", "rep"), F.col("a") == F.col("class")).select("a", "root", "rep"), "linked")
+    least = stage(of_class.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "_root"), "least")
+    named_by = of_class.join(least, F.col("root") == F.col("_root")).select("a", "least")
+    roots = classes.select("digest", "class", "rep").join(named_by, F.col("class") == F.col("a"), "left").select(F.col("digest").alias("_digest"), F.coalesce("least", "rep").alias("component"))
+    out = sigs.select("id", "n", "digest", *extra).join(roots, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), *extra)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those linked to one of smaller id, columns as they
-    were.  Only texts that the bitmap of dropped ids lets through are shuffled."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("id")).distinct()
-    return drop_ids(docs, id_col, stage(dropped, "dropped"))
+    were.  Rows are told apart by id and text.  Only texts that the bitmap of
+    dropped ids lets through are shuffled."""
+    quick, exact = {"id": lambda i, t: i.cast("long")}, {"key": lambda i, t: text_key(t)}
+    dropped = near_duplicates(docs, id_col, text_col, with_key=True).where(~F.col("kept")).select(F.col(id_col).alias("id"), "key").distinct()
+    return drop_rows(docs, id_col, text_col, stage(dropped, "dropped"), quick, exact)

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from lexloom.llm import exact_dedup, sharding
+from lexloom.llm import exact_dedup, minhash, sharding
 
 SCHEMA = "doc_id long, text string, KEPT boolean, size int, `length` int"
 SPACES = " \t\n\x0b\x0c\r"
@@ -94,3 +94,18 @@ def test_stages_are_cleared(spark):
     assert not common._STAGED
     with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
         staged.collect()
+
+
+def test_keep_one_of_each_judges_rows(spark):
+    same, near = " ".join("w%d" % i for i in range(60)), " ".join("w%d" % i for i in range(59)) + " x"
+    far = " ".join("v%d" % i for i in range(60))
+    schema = "doc_id long, text string"
+    # A null id whose text is a copy; null ids of texts of their own; an id that
+    # a dropped copy and another text share.
+    rows = [(1, same), (None, same), (None, far), (None, far + " y"), (7, same), (7, "alone"), (7, None)]
+    got = exact_dedup.keep_one_of_each(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6]]))
+    # Both texts of id 7 have it for their least id.
+    rows = [(1, same), (7, near), (7, far), (None, near), (7, None)]
+    got = minhash.keep_one_of_each(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], *rows[2:]]))
