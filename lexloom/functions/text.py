@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,13 +78,67 @@ def tokenize(col: Column | str) -> Column:
     return F.regexp_extract_all(col, F.lit(TOKEN), F.lit(0))
 
 
-def token_spans(col: Column | str) -> Column:
-    """Tokens with their places: ``array<struct<start,end,token>>``, ends
-    exclusive, in characters."""
+def running_sums(values: Column, block: int = 2_048) -> Column:
+    """For each item of an array of whole numbers the sum of those before it.
+
+    Summed in blocks, then over blocks.  Inside a block the sums grow as text,
+    which the engine appends to far faster than to an array."""
+
+    def body(v: Column) -> Column:
+        n_blocks = F.ceil(F.size(v) / block).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+        grown = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], acc["at"].cast("string"), F.lit(",")).alias("sums"))
+        inside = F.transform(cut, lambda x: F.aggregate(x, F.struct(F.lit(0).alias("at"), F.lit("").alias("sums")), grown))
+        over = lambda i: F.aggregate(i, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        numbers = lambda x: F.split(F.substring(x["sums"], F.lit(1), F.length(x["sums"]) - 1), ",")
+        placed = let(inside, lambda i: let(over(i), lambda o: F.transform(i, lambda x, b: F.transform(numbers(x), lambda y: y.cast("int") + F.get(o, b)))))
+        return F.when(F.size(v) > 0, F.flatten(placed)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, body)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def token_places(col: Column | str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens with their places, ``array<struct<idx,start,end,token>>``: ends are
+    exclusive, in characters.  ``keep`` takes a token's text and says whether it
+    is wanted; the others still count for ``idx``.  Null text gives null.
+
+    Gaps and tokens alternate in a text, so a token starts at the sum of the
+    lengths before it; nothing leaves the row."""
     text = F.col(col) if isinstance(col, str) else col
-    gaps, tokens = F.split(text, TOKEN, -1), tokenize(text)
-    lengths = F.transform(F.arrays_zip(gaps.alias("g"), tokens.alias("t")), lambda x: F.struct(F.coalesce(F.length(x["g"]), F.lit(0)).alias("g"), x["t"].alias("t")))
-    return F.filter(lengths, lambda x: x["t"].isNotNull())
+
+    def every(x: Column) -> Column:
+        lengths = F.zip_with(x["gaps"], x["tokens"], lambda g, t: F.length(g) + F.coalesce(F.length(t), F.lit(0)))
+        at = F.zip_with(x["tokens"], running_sums(lengths), lambda t, before: F.struct(before.alias("before"), t.alias("token")))
+        start = lambda y, i: y["before"] + F.length(F.get(x["gaps"], i))
+        return F.filter(F.transform(at, lambda y, i: F.struct(i.alias("idx"), start(y, i).alias("start"), (start(y, i) + F.length(y["token"])).alias("end"), y["token"].alias("token"))), lambda y: y["token"].isNotNull())
+
+    def some(x: Column) -> Column:
+        def add(acc: Column, y: Column) -> Column:
+            start = acc["at"] + F.length(y["g"])
+            end = start + F.length(y["t"])
+            own = F.array(F.struct(acc["idx"].alias("idx"), start.alias("start"), end.alias("end"), y["t"].alias("token")))
+            return F.struct((acc["idx"] + 1).alias("idx"), end.alias("at"), F.when(keep(y["t"]), F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
+
+        # The last gap has no token.
+        pairs = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["tokens"])), x["tokens"], lambda g, t: F.struct(g.alias("g"), t.alias("t")))
+        zero = F.struct(F.lit(0).alias("idx"), F.lit(0).alias("at"), F.array().cast("array<struct<idx:int,start:int,end:int,token:string>>").alias("found"))
+        return F.aggregate(pairs, zero, add, lambda acc: acc["found"])
+
+    return F.when(text.isNotNull(), let(F.struct(F.split(text, TOKEN, -1).alias("gaps"), tokenize(text).alias("tokens")), some if keep else every))
+
+
+def below(items: Column, field: str, value: Column) -> Column:
+    """How many items of an array of structs, sorted by ``field``, are below a
+    value there: binary search."""
+    half = lambda at: F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+    step = lambda at, _: F.when(at["lo"] >= at["hi"], at).when(F.get(items, half(at))[field] < value, F.struct((half(at) + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), half(at).alias("hi")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi")), step, lambda at: at["lo"])
 
 
 def strip_context_prefix(col: Column | str) -> Column:
@@ -255,3 +309,8 @@ def chunks(col: Column | str, size: int, overlap: int = 0) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size - overlap))
     cut = F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), lambda x: x != "")
     return F.when(text.isNotNull(), cut)
+
+
+def digest(*columns: str) -> Column:
+    """SHA-256 over the columns' values; null differs from every value."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -49,6 +49,10 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
 
 
-def with_default(df: DataFrame, table: DataFrame, key: str, value: str, default: object) -> DataFrame:
-    """A looked-up value, or a default for keys that the table lacks."""
-    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+def with_default(df: DataFrame, table: DataFrame, key: str, value: str, default: object, pos: str | None = None) -> DataFrame:
+    """A looked-up value, or a default for keys that the table lacks or that are
+    null.  A key that the table repeats has one value: the one written last by
+    ``pos``, or the greatest where no order is given."""
+    last = F.max(value) if pos is None else F.max_by(value, pos)
+    once = table.groupBy(key).agg(last.alias(value))
+    return df.join(once, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))

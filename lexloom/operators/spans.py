@@ -5,66 +5,98 @@ of one document is done in its row, or in windows over its id."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, tidy_punctuation, tokenize
+from ..functions.text import below, let, tidy_punctuation, token_places, tokenize
+from .ranking import spread
 
+#: Bits of the map of item heads, one constant of 8 kB in a plan.
+_HEAD_BITS = 1 << 16
 
-def exploded_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, idx, start, end, token), a row for each token.
 
-    Gaps and tokens alternate in a text, so a token starts at the sum of the
-    lengths before it, a running sum over the document."""
-    gaps = F.split(F.col(text), TOKEN, -1)
-    parts = docs.select(key, F.posexplode(F.arrays_zip(F.transform(gaps, F.length).alias("gap"), tokenize(text).alias("token"))).alias("idx", "p"))
-    parts = parts.select(key, "idx", F.coalesce("p.gap", F.lit(0)).alias("gap"), F.col("p.token").alias("token")).where("token IS NOT NULL")
-    upto = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = parts.withColumn("end", F.sum(F.col("gap") + F.length("token")).over(upto).cast("int"))
-    return ends.select(key, "idx", (F.col("end") - F.length("token")).alias("start"), "end", "token")
+def exploded_tokens(docs: DataFrame, key: str, text: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, idx, start, end, token), a row for each token, or for each that
+    ``keep`` wants.  Null texts give no rows.  Places are found in the document's
+    row, so nothing is shuffled."""
+    rows = spread(docs.select(key, text)).select(key, F.explode(token_places(text, keep)).alias("p"))
+    return rows.select(key, "p.idx", "p.start", "p.end", "p.token")
 
 
-def _ranked(tokens: DataFrame, points: DataFrame, key: str, by: str) -> DataFrame:
-    """For each point (key, point, ...): how many tokens have ``by`` <= point,
-    by one running count over tokens and points together."""
-    t = tokens.select(key, F.col(by).alias("_at"), F.lit(0).alias("_side"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_id"))
-    p = points.select(key, F.col("point").alias("_at"), F.lit(1).alias("_side"), F.lit(0).alias("_one"), F.col("_id"))
-    upto = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = t.unionByName(p).withColumn("n", F.sum("_one").over(upto))
-    return both.where("_side = 1").select(key, "_id", F.col("n").cast("int").alias("n"))
+def token_at(places: Column, point: Column) -> Column:
+    """The idx of the token that covers a character; null on a gap.  ``places``
+    are those of all tokens."""
+    found = lambda n: F.when(F.get(places, n - 1)["end"] > point, F.get(places, n - 1)["idx"])
+    return let(below(places, "start", point + 1), lambda n: F.when(n > 0, found(n)))
 
 
-def char_to_token(tokens: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """The token that covers each point (key, _id, point): its idx, or null on a
-    gap.  Equals a lookup in a map of every character of every token."""
-    ranked = _ranked(tokens, points, key, "start").withColumn("idx", F.col("n") - 1)
-    found = points.join(ranked.select(key, "_id", "idx"), [key, "_id"])
-    ends = tokens.select(key, "idx", "end")
-    joined = found.join(ends, [key, "idx"], "left")
-    return joined.select(key, "_id", "point", F.when(F.col("point") < F.col("end"), F.col("idx")).alias("idx"))
+def _others(rows: DataFrame, key: str) -> list[str]:
+    return [c for c in rows.columns if c != key]
 
 
-def contract_to_tokens(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """The widest run of whole tokens inside each span (key, _id, start, end);
-    spans that hold none are dropped."""
-    lo = _ranked(tokens, spans.select(key, "_id", (F.col("start") - 1).alias("point")), key, "start").withColumnRenamed("n", "start_tok")
-    hi = _ranked(tokens, spans.select(key, "_id", F.col("end").alias("point")), key, "end").select(key, "_id", (F.col("n") - 1).alias("end_tok"))
-    return spans.join(lo, [key, "_id"]).join(hi, [key, "_id"]).where("start_tok <= end_tok")
+def _in_documents(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _t, _rows): each document that rows name, its tokens placed once the
+    text has met its rows, so that texts are shuffled and tokens never."""
+    asked = rows.groupBy(key).agg(F.collect_list(F.struct(*_others(rows, key))).alias("_rows"))
+    met = spread(docs.where(F.col(text).isNotNull()).select(key, text)).join(asked, key)
+    return met.select(key, token_places(text).alias("_t"), "_rows")
+
+
+def char_to_token(docs: DataFrame, points: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The token that covers each point (key, point, ...): its idx, or null on a
+    gap or past the text.  Equals a lookup in a map of every character of every
+    token.  Points of documents that are absent or null are dropped; a document
+    is worked on in one row, its points with it."""
+    met = _in_documents(docs, points, key, text)
+    found = F.transform("_rows", lambda p: F.struct(*(p[c].alias(c) for c in _others(points, key)), token_at(F.col("_t"), p["point"]).alias("idx")))
+    return met.select(key, F.explode(found).alias("_f")).select(key, "_f.*")
+
+
+def contract_to_tokens(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The widest run of whole tokens inside each span (key, start, end, ...), as
+    start_tok and end_tok, included; spans that hold none are dropped."""
+    met = _in_documents(docs, spans, key, text)
+    lo, hi = lambda s: below(F.col("_t"), "start", s["start"]), lambda s: below(F.col("_t"), "end", s["end"] + 1) - 1
+    found = F.transform("_rows", lambda s: F.struct(*(s[c].alias(c) for c in _others(spans, key)), lo(s).alias("start_tok"), hi(s).alias("end_tok")))
+    return met.select(key, F.explode(found).alias("_f")).select(key, "_f.*").where("start_tok <= end_tok")
 
 
 _SPAN = "array<struct<start:int,end:int,label:string>>"
 
 
+def overlap_clusters(spans: Column | str) -> Column:
+    """Spans dealt into runs that meet one another, directly or through others;
+    spans of different runs never overlap."""
+
+    def add(acc: Column, x: Column) -> Column:
+        meets = x["start"] < acc["end"]
+        closed = F.when(meets | (F.size(acc["own"]) == 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["own"])))
+        own = F.when(meets, F.concat(acc["own"], F.array(x))).otherwise(F.array(x))
+        return F.struct(closed.alias("done"), own.alias("own"), F.greatest(F.when(meets, acc["end"]), x["end"]).alias("end"))
+
+    zero = F.struct(F.array().cast(f"array<{_SPAN}>").alias("done"), F.array().cast(_SPAN).alias("own"), F.lit(-(2**31)).alias("end"))
+    whole = lambda acc: F.when(F.size(acc["own"]) > 0, F.concat(acc["done"], F.array(acc["own"]))).otherwise(acc["done"])
+    plain = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
+    return F.aggregate(F.sort_array(plain), zero, add, whole)
+
+
 def resolve_overlaps(spans: Column | str) -> Column:
-    """Longest first, then earliest; a span that meets a kept one goes.  The
-    result is in order of start."""
-    keyed = F.transform(spans, lambda x: F.struct((x["start"] - x["end"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
-    ordered = F.transform(F.sort_array(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
-    clash = lambda acc, x: F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    keep = lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.sort_array(F.aggregate(ordered, F.array().cast(_SPAN), keep))
+    """Longest first, then earliest, then least label; a span that meets a kept
+    one goes.  The result is in order of start.  Null gives null.
+
+    Only spans of one cluster are held against each other, so a long document
+    costs what its clusters cost."""
+
+    def greedy(cluster: Column) -> Column:
+        keyed = F.transform(cluster, lambda x: F.struct((x["start"] - x["end"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
+        ordered = F.transform(F.sort_array(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
+        clash = lambda acc, x: F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        keep = lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x)))
+        return F.sort_array(F.aggregate(ordered, F.array().cast(_SPAN), keep))
+
+    return F.flatten(F.transform(overlap_clusters(spans), greedy))
 
 
 _ENTITY = "array<struct<label:string,text:string,start:int,end:int>>"
@@ -124,25 +156,40 @@ def first_subsequence(tokens: Column, wanted: Column) -> Column:
 
 
 def subsequence_matches(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, tokens: str = "tokens", n: int = 4) -> DataFrame:
-    """(doc, item, first_tok) for every item whose tokens stand in a document.
+    """(doc, item, first_tok) for every item whose whole token list stands in a
+    document; empty and null lists stand nowhere, and of a repeated document or
+    item the first place counts.
 
     Items are met by the hash of their first ``n`` tokens (fewer if they have
-    fewer), so only places that begin alike are compared."""
+    fewer).  A document's windows are hashed in its row, and only windows whose
+    hash may be an item's, by a bitmap of fixed size, become rows; the document
+    comes to the comparison once for each item it may hold."""
     i = items.where(F.size(tokens) > 0).select(item_key, F.col(tokens).alias("_want"), F.least(F.size(tokens), F.lit(n)).alias("_n"))
-    i = i.withColumn("_head", F.xxhash64(F.slice("_want", F.lit(1), F.col("_n"))))
-    lengths = [r[0] for r in i.select("_n").distinct().collect()]  # at most n numbers
+    lengths = sorted(r[0] for r in i.select("_n").distinct().collect())  # at most n numbers
+    head = lambda k: F.xxhash64(*(F.get("_want", F.lit(m)) for m in range(k)), F.lit(k))
+    i = i.withColumn("_head", F.coalesce(*(F.when(F.col("_n") == F.lit(k), head(k)) for k in lengths)))
     if not lengths:
         return docs.select(doc_key).limit(0).withColumns({item_key: F.lit(None).cast(dict(items.dtypes)[item_key]), "first_tok": F.lit(None).cast("int")})
-    arms = []
-    for k in lengths:
-        starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(0), F.size(tokens) - k)).otherwise(F.array().cast("array<int>"))
-        arms.append(docs.select(doc_key, tokens, F.explode(starts).alias("_at")).select(doc_key, F.col("_at"), F.lit(k).alias("_k"), F.xxhash64(F.slice(tokens, F.col("_at") + 1, F.lit(k))).alias("_h")))
-    places = arms[0]
-    for a in arms[1:]:
-        places = places.unionByName(a)
-    met = places.join(i, (F.col("_h") == F.col("_head")) & (F.col("_k") == F.col("_n"))).select(doc_key, item_key, "_at", "_want")
-    whole = met.join(docs.select(doc_key, tokens), doc_key).where(F.slice(tokens, F.col("_at") + 1, F.size("_want")) == F.col("_want"))
-    return whole.groupBy(doc_key, item_key).agg(F.min("_at").alias("first_tok"))
+    # One row of 2^16 bits: where the low bits of a head are set.
+    place = lambda h: F.pmod(h, F.lit(_HEAD_BITS))
+    words = i.select((place(F.col("_head")) / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place(F.col("_head")) % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = [0] * (_HEAD_BITS // 64)
+    for r in words:
+        bits[r.w] = r.b
+    table = F.array(*(F.lit(b).cast("long") for b in bits))
+    may = lambda h: F.getbit(F.get(table, (place(h) / 64).cast("int")), (place(h) % 64).cast("int")) == 1
+    starts = lambda k: F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
+    # Item by item, as a slice copies the whole list each time.
+    hashed = lambda k: F.transform(starts(k), lambda j: F.struct((j - 1).alias("at"), F.xxhash64(*(F.get(tokens, j + (m - 1)) for m in range(k)), F.lit(k)).alias("h")))
+    windows = F.concat(*map(hashed, lengths))
+    met = F.filter(windows, lambda x: may(x["h"]))
+    heads = spread(docs.select(doc_key, tokens)).select(doc_key, F.col(tokens).alias("_tokens"), met.alias("_met"))
+    places = heads.select(doc_key, "_tokens", "_met", F.explode(F.array_distinct(F.transform("_met", lambda x: x["h"]))).alias("_h"))
+    held = places.join(i, F.col("_h") == F.col("_head"))
+    fits = F.filter("_met", lambda x: (x["h"] == F.col("_h")) & (F.slice("_tokens", x["at"] + 1, F.size("_want")) == F.col("_want")))
+    first = F.array_min(F.transform(fits, lambda x: x["at"]))
+    found = held.select(doc_key, item_key, F.explode(F.filter(F.array(first), lambda x: x.isNotNull())).alias("first_tok"))
+    return found.groupBy(doc_key, item_key).agg(F.min("first_tok").alias("first_tok"))
 
 
 def first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -171,27 +218,28 @@ def spans_by_document(df: DataFrame, by: Sequence[str], order: Sequence[str], fi
     return got.withColumn(out, F.transform("_a", lambda x: F.struct(*(x[f].alias(f) for f in fields)))).drop("_a")
 
 
-def relation_records(relations: DataFrame, tokens: DataFrame, key: str = "PMID") -> DataFrame:
+def relation_records(relations: DataFrame, docs: DataFrame, key: str = "PMID", text: str = "text") -> DataFrame:
     """Nested records: each document's tokens, its mentions as token spans (each
-    place once) and its relations between them.
+    place once, by the least type and text) and its relations between them, each
+    sorted.
 
     A mention whose first or last character lies on no token is dropped, and so
-    is a relation that needs it."""
+    is a relation that needs it; documents left without a relation give no
+    record.  A document's relations meet its text once, and all else is done in
+    its row."""
     ends = ("Subject", "Object")
-    rows = relations.withColumn("_id", F.row_number().over(Window.partitionBy(key).orderBy(*(c for c in relations.columns if c != key))))
-    from_rows = lambda e: rows.select(key, "_id", F.lit(e).alias("end"), F.col(e).alias("text"), F.col(f"{e}_Type").alias("type"), F.col(f"{e}_Start").alias("start"), F.col(f"{e}_End").alias("stop"))
-    mentions = from_rows(ends[0]).unionByName(from_rows(ends[1]))
-    places = mentions.select(key, "start", "stop").distinct()
-    at = places.select(key, F.col("start").alias("point")).unionByName(places.select(key, (F.col("stop") - 1).alias("point"))).distinct()
-    at = at.withColumn("_id", F.col("point").cast("long"))
-    found = char_to_token(tokens, at, key).where("idx IS NOT NULL").select(key, "point", "idx")
-    first = found.select(key, F.col("point").alias("start"), F.col("idx").alias("start_tok"))
-    last = found.select(key, (F.col("point") + 1).alias("stop"), F.col("idx").alias("end_tok"))
-    spans = mentions.join(first, [key, "start"]).join(last, [key, "stop"])
-    ner = spans.groupBy(key, "start_tok", "end_tok").agg(F.min(F.struct("type", "text")).alias("m"))
-    ner = ner.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_tok", "end_tok", F.col("m.type").alias("type"), F.col("m.text").alias("text")))).alias("ner"))
-    side = lambda e, name: spans.where(F.col("end") == e).select(key, "_id", F.struct(F.col("text").alias("mention"), F.array("start_tok", "end_tok").alias("position"), "type").alias(name))
-    both = rows.select(key, "_id", F.col("Relation").alias("relation_text")).join(side("Subject", "head"), [key, "_id"]).join(side("Object", "tail"), [key, "_id"])
-    related = both.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("head", "tail", "relation_text"))).alias("relations"))
-    words = tokens.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("tokenized_text"))
-    return words.join(ner, key).join(related, key).select(key, "ner", "relations", "tokenized_text")
+    met = _in_documents(docs, relations.select(key, *(f"{e}{x}" for e in ends for x in ("", "_Type", "_Start", "_End")), "Relation"), key, text)
+    span = lambda r, e: F.struct(token_at(F.col("_t"), r[f"{e}_Start"]).alias("start_tok"), token_at(F.col("_t"), r[f"{e}_End"] - 1).alias("end_tok"), r[f"{e}_Type"].alias("type"), r[e].alias("text"))
+    placed = met.select(key, "_t", F.transform("_rows", lambda r: F.struct(*(span(r, e).alias(e) for e in ends), r["Relation"].alias("relation_text"))).alias("_r"))
+    on_tokens = lambda m: m["start_tok"].isNotNull() & m["end_tok"].isNotNull()
+    every = F.filter(F.concat(F.transform("_r", lambda r: r["Subject"]), F.transform("_r", lambda r: r["Object"])), on_tokens)
+    same = lambda a, b: (a["start_tok"] == b["start_tok"]) & (a["end_tok"] == b["end_tok"])
+    # Sorted, so the first of each place is the least.
+    ner = let(F.sort_array(F.array_distinct(every)), lambda s: F.filter(s, lambda m, i: (i == 0) | ~F.coalesce(same(m, F.get(s, i - 1)), F.lit(False))))
+    side = lambda m: F.struct(m["text"].alias("mention"), F.array(m["start_tok"], m["end_tok"]).alias("position"), m["type"].alias("type"))
+    whole = F.filter("_r", lambda r: on_tokens(r["Subject"]) & on_tokens(r["Object"]))
+    related = F.sort_array(F.transform(whole, lambda r: F.struct(side(r["Subject"]).alias("head"), side(r["Object"]).alias("tail"), r["relation_text"].alias("relation_text"))))
+    record = F.struct(ner.alias("ner"), related.alias("relations"), F.transform("_t", lambda t: t["token"]).alias("tokenized_text"))
+    # Not by where(), which would be pushed down and place all tokens again.
+    kept = F.filter(F.array(record), lambda r: F.size(r["relations"]) > 0)
+    return placed.select(key, F.explode(kept).alias("_k")).select(key, "_k.*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import md5_bucket, number_groups, number_rows, seeded
+from .ranking import md5_bucket, number_groups, number_rows, seeded, sum_before
 
 
 def signatures(rows: DataFrame, key: str, kind: str) -> DataFrame:
@@ -34,10 +34,8 @@ def stratified_folds(rows: DataFrame, key: str, kind: str, folds: int = 5, seed:
     classed = signature_classes(signatures(rows, key, kind), key, min_class_size).select(key, "class")
     shuffled = classed.withColumn("_order", seeded(seed, F.col(key)))
     numbered = number_groups(shuffled, ["class"], md5_bucket(F.col("_order")), [F.col("_order"), F.col(key)], "_at")
-    # Offsets of classes: one row for each class.
-    sizes = classed.groupBy("class").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("class").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    sizes = classed.groupBy(F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sum_before(sizes, "_c", "_n", "_o").select("_c", "_o")
     return numbered.join(offsets, F.col("class") == F.col("_c")).select(key, "class", ((F.col("_o") + F.col("_at")) % folds).cast("int").alias("fold"))
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digest
+
 STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
@@ -74,23 +77,30 @@ def renamed_rows(df: DataFrame, column: str, names: Mapping[str, str]) -> DataFr
 
 
 def flag_maximum(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds whether a row holds its group's largest value; nulls never do."""
-    top = df.groupBy(*by).agg(F.max(column).alias("_top"))
-    joined = df.join(F.broadcast(top), list(by), "left") if by else df.crossJoin(F.broadcast(top))  # one row
-    return joined.withColumn("is_max", F.coalesce(F.col(column) == F.col("_top"), F.lit(False))).drop("_top")
+    """Adds whether a row holds its group's largest value; nulls never do.  Null
+    group keys form a group.  Maxima are pre-aggregated, and joined by their
+    size."""
+    names = {g: f"_g{i}" for i, g in enumerate(by)}
+    top = df.groupBy(*by).agg(F.max(column).alias("_top")).select(*(F.col(g).alias(n) for g, n in names.items()), "_top")
+    if by:
+        joined = df.join(top, reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(n)) for g, n in names.items())))
+    else:
+        joined = df.crossJoin(F.broadcast(top))  # one row
+    return joined.withColumn("is_max", F.coalesce(F.col(column) == F.col("_top"), F.lit(False))).drop("_top", *names.values())
 
 
 def keep_first(df: DataFrame, subset: Sequence[str], pos: str) -> DataFrame:
-    """The first row, by ``pos``, of each distinct combination; rows are found by
-    a pre-aggregated minimum, so equal ones never gather in one task, and by
-    digests, so long texts aren't shuffled to be compared."""
-    first = df.groupBy(digest(*subset).alias("_digest")).agg(F.min(pos).alias("_first")).select("_first")
-    return df.join(first, F.col(pos) == F.col("_first"), "left_semi")
-
-
-def digest(*columns: str) -> Column:
-    """SHA-256 over the columns' values; null differs from every value."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    """The first row, by ``pos``, of each distinct combination of ``subset``; null
+    equals null, a null ``pos`` comes last, and rows that tie fall by a digest
+    of all their columns (equal rows are one).
+
+    The first is found by a pre-aggregated minimum, so equal combinations never
+    gather in one task, and by digests, so long texts aren't compared."""
+    names = df.columns
+    rows = df.withColumns({"_digest": digest(*subset), "_place": F.struct(F.col(pos).isNull().alias("none"), F.col(pos).alias("pos"), digest(*names).alias("row"))})
+    first = rows.groupBy(F.col("_digest").alias("_first")).agg(F.min("_place").alias("_at"))
+    met = rows.join(first, (F.col("_digest") == F.col("_first")) & (F.col("_place") <= F.col("_at")), "left_semi")
+    return met.dropDuplicates(["_digest"]).select(*(f"`{c}`" for c in names))
 
 
 def first_seen(df: DataFrame, label: str, pos: str) -> DataFrame:

@@ -43,7 +43,7 @@ ORACLE_SQL: dict[str, str] = {
     "kw_filter_array": "SELECT conv_id, count(*) AS n_contexts FROM conversations GROUP BY conv_id HAVING bool_or(coalesce(regexp_matches(text, '(?i)(?:and the|because)'), false))",
     "kw_hits_by_term": f"""WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{TOKEN}'))) AS term FROM documents)
         SELECT term, count(DISTINCT doc_id) AS n_rows, count(*) AS n_hits FROM t WHERE term IN ('trash', 'moron', 'scum', 'idiot', 'the', 'der') GROUP BY term""",
-    "kw_filter_large_lexicon": f"SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x) IN ('moron', 'idiot'))) > 0",
+    "kw_filter_large_lexicon": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:moron|idiot|nohit[0-9])')",
     "filter_choice_and_null": "SELECT p_brand, count(*) AS n FROM part WHERE p_size % 7 <> 0 AND NOT contains(p_type, 'BRASS') GROUP BY p_brand",
     "semi_join_keys": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) GROUP BY 1",
     "entity_join_clean": f"""WITH {TOKENS}, {MENTIONS}
@@ -57,7 +57,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM f JOIN orders ON l_orderkey = o_orderkey""",
     "split_overlap": "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A'",
     "lookup_with_default": "SELECT coalesce(n_name, 'none') AS n_name, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey GROUP BY 1",
-    "type_value_counts": "SELECT event_type, count(*) AS count, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
+    "type_value_counts": "SELECT event_type, count(*) AS count FROM events GROUP BY 1",
     "text_length_describe": """WITH s AS (SELECT lang, avg(n_chars)::DOUBLE AS mean, stddev_samp(n_chars) AS std, min(n_chars)::DOUBLE AS min, quantile_cont(n_chars::DOUBLE, 0.25) AS q1, quantile_cont(n_chars::DOUBLE, 0.5) AS q2, quantile_cont(n_chars::DOUBLE, 0.75) AS q3, max(n_chars)::DOUBLE AS max FROM documents GROUP BY lang)
         SELECT lang, stat, round(value, 4) AS value FROM (SELECT lang, unnest(['mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS stat, unnest([mean, std, min, q1, q2, q3, max]) AS value FROM s)""",
     "length_trim_dedup": """WITH r AS (SELECT doc_id, text, length(text) AS length, row_number() OVER (ORDER BY length(text) NULLS LAST, doc_id) AS rn, count(*) OVER () AS n FROM documents),
@@ -91,15 +91,15 @@ ORACLE_SQL: dict[str, str] = {
     "json_extract_validate": "SELECT json_extract(props, '$.k') IS NOT NULL AS valid, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS sum_k FROM events GROUP BY 1",
     "option_extraction": "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_size % 4 + 1 END AS option FROM part",
     "answer_accuracy": "SELECT round(avg((p_size % 4 = p_size % 5)::INT::DOUBLE), 6) AS accuracy FROM part",
-    "char_to_token": f"""WITH {TOKENS}, p AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 97)) AS point FROM documents),
+    "char_to_token": f"""WITH {TOKENS}, p AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 31)) AS point FROM documents),
         f AS (SELECT p.doc_id, CASE WHEN p.point < t.end_ THEN t.idx END AS idx FROM p ASOF LEFT JOIN tokens t ON p.doc_id = t.doc_id AND p.point >= t.start_)
         SELECT doc_id, count(idx) AS n_on_token, sum(idx)::BIGINT AS sum_idx, count(*) AS n_points FROM f GROUP BY doc_id""",
-    "span_contract": f"""WITH {TOKENS}, p AS (SELECT doc_id, s AS start_, s + 23 AS end_ FROM (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 41)) AS s FROM documents)),
+    "span_contract": f"""WITH {TOKENS}, p AS (SELECT doc_id, s AS start_, s + 23 AS end_ FROM (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 31)) AS s FROM documents)),
         lo AS (SELECT p.doc_id, p.start_, p.end_, t.idx AS a FROM p ASOF JOIN tokens t ON p.doc_id = t.doc_id AND p.start_ <= t.start_),
         hi AS (SELECT lo.*, t.idx AS b FROM lo ASOF JOIN tokens t ON lo.doc_id = t.doc_id AND lo.end_ >= t.end_)
         SELECT doc_id, count(*) AS n, sum(a)::BIGINT AS sum_start, sum(b)::BIGINT AS sum_end FROM hi WHERE a <= b GROUP BY doc_id""",
     "subsequence_match": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ') || ' ' AS t FROM documents),
-        i AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(text, '{TOKEN}')[1:8], ' ') || ' ' AS t FROM benchmark)
+        i AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ') || ' ' AS t FROM benchmark)
         SELECT doc_id, item_id, length(replace(substr(d.t, 1, strpos(d.t, i.t) - 1), ' ', '  ')) - strpos(d.t, i.t) + 1 AS first_tok FROM d, i WHERE contains(d.t, i.t)""",
     "merge_adjacent": """WITH c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
@@ -108,8 +108,14 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, sum(CASE WHEN step <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM m)
         SELECT doc_id, min(idx) AS start, max(idx) + 1 AS "end", string_agg(token, ' ' ORDER BY idx) AS text FROM r GROUP BY doc_id, run""",
     "running_offset": "SELECT conv_id, turn, coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM conversations",
-    "relation_records": f"""WITH {TOKENS}, {MENTIONS}, c AS (SELECT doc_id, count(*) AS n FROM mentions GROUP BY 1), t AS (SELECT doc_id, count(*) AS n_tokens FROM tokens GROUP BY 1)
-        SELECT doc_id, n AS n_ner, n - 1 AS n_relations, n_tokens FROM c JOIN t USING (doc_id) WHERE n > 1""",
+    "relation_records": f"""WITH {TOKENS}, {MENTIONS},
+        p AS (SELECT *, lead(token) OVER w AS o, lead(idx) OVER w AS oi, lead(type) OVER w AS ot FROM mentions WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+        c AS (SELECT doc_id, count(*) AS n_ner, count(o) AS n_relations,
+                     md5(string_agg(idx || ':' || idx || ':' || type || ':' || token, ',' ORDER BY idx)) AS ner_md5,
+                     md5(array_to_string(list_sort(list(token || ':' || idx || '-' || idx || ':' || type || ':' || o || ':' || oi || '-' || oi || ':' || ot || ':NEXT') FILTER (o IS NOT NULL)), ',')) AS relations_md5
+              FROM p GROUP BY 1),
+        t AS (SELECT doc_id, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY idx)) AS tokens_md5 FROM tokens GROUP BY 1)
+        SELECT doc_id, n_ner, n_relations, n_tokens, ner_md5, relations_md5, tokens_md5 FROM c JOIN t USING (doc_id) WHERE n_ner > 1""",
     "stratified_folds": """WITH s AS (SELECT l_orderkey, string_agg(l_returnflag || n, ',' ORDER BY l_returnflag) AS sig FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1),
         z AS (SELECT sig, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, min(l_orderkey)) - 1 AS rank FROM s GROUP BY sig),
         c AS (SELECT l_orderkey, CASE WHEN size >= 5 THEN rank ELSE -1 END AS class FROM s JOIN z USING (sig))

@@ -21,10 +21,9 @@ def span_corpus(abstracts: DataFrame, mentions: DataFrame, k: int = 5, seed: int
     rows = joins.mention_rows(abstracts, mentions, merge_types={"GENE-N": "GENE", "GENE-Y": "GENE"})
     folds = splits.stratified_folds(rows, "PMID", "Type", k, seed, min_class_size)
     texts = rows.select("PMID", "Text").distinct()
-    tokens = spans.exploded_tokens(texts, "PMID", "Text")
     raw = rows.select("PMID", F.col("Start_offset").alias("start"), F.col("End_offset").alias("end"), F.col("Type").alias("label")).distinct()
     raw = raw.withColumn("_id", F.xxhash64("start", "end", "label"))
-    held = spans.contract_to_tokens(tokens, raw, "PMID").select("PMID", F.col("start_tok").alias("start"), (F.col("end_tok") + 1).cast("int").alias("end"), "label").distinct()
+    held = spans.contract_to_tokens(texts, raw, "PMID", "Text").select("PMID", F.col("start_tok").alias("start"), (F.col("end_tok") + 1).cast("int").alias("end"), "label").distinct()
     gathered = held.groupBy("PMID").agg(F.collect_list(F.struct("start", "end", "label")).alias("a"))
     return splits.fold_splits(texts.join(gathered, "PMID").withColumn("entities", spans.resolve_overlaps("a")).drop("a"), folds, "PMID", k)
 

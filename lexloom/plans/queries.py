@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import backends, graphs, joins, lexicon, metrics, ranking, retrieval, spans, splits, stats
+from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +70,7 @@ def kw_hits_by_term(spark, sf_dir):
 def kw_filter_large_lexicon(spark, sf_dir):
     terms = [f"nohit{i}" for i in range(300)] + ["moron", "idiot"]
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lexicon.filter_by_terms(docs, ["text"], terms, "doc_id").select("doc_id")
+    return lexicon.filter_by_terms(docs, ["text"], terms).select("doc_id")
 
 
 @query
@@ -94,9 +95,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions derived from words by shape: a digit makes GENE-N or GENE-Y, an
     inner capital CHEMICAL."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = spans.exploded_tokens(docs, "doc_id", "text")
-    shaped = F.when(F.col("token").rlike("[0-9].*[0-9]"), "GENE-N").when(F.col("token").rlike("[0-9]"), "GENE-Y").when(F.col("token").rlike("^[A-Z][a-z]{7,}$"), "CHEMICAL")
-    return tokens.withColumn("type", shaped).where("type IS NOT NULL")
+    wanted = lambda t: t.rlike("[0-9]|^[A-Z][a-z]{7,}$")
+    tokens = spans.exploded_tokens(docs, "doc_id", "text", wanted)
+    return tokens.withColumn("type", F.when(F.col("token").rlike("[0-9].*[0-9]"), "GENE-N").when(F.col("token").rlike("[0-9]"), "GENE-Y").otherwise("CHEMICAL"))
 
 
 @query
@@ -136,7 +137,9 @@ def split_overlap(spark, sf_dir):
 @query
 def lookup_with_default(spark, sf_dir):
     wide = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return joins.with_default(table(spark, sf_dir, "customer"), wide, "c_nationkey", "n_name", "none").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    # Names as a dict that was written twice: the later value counts.
+    twice = wide.withColumn("pos", F.lit(2)).unionByName(wide.select("c_nationkey", F.lit("first").alias("n_name"), F.lit(1).alias("pos")))
+    return joins.with_default(table(spark, sf_dir, "customer"), twice, "c_nationkey", "n_name", "none", "pos").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- aggregates and summaries
@@ -144,7 +147,7 @@ def lookup_with_default(spark, sf_dir):
 
 @query
 def type_value_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("user_id").alias("n_users"))
+    return stats.value_counts(table(spark, sf_dir, "events"), "event_type")
 
 
 @query
@@ -158,7 +161,7 @@ def length_trim_dedup(spark, sf_dir):
     """Shortest 36 and longest 2 cut off, then the first of equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("length", F.length("text").cast("long"))
     order = [F.col("length").asc_nulls_last(), F.col("doc_id")]
-    trimmed = ranking.trim_sorted(docs, order, [F.col("length").desc_nulls_first(), F.col("doc_id").desc()], "doc_id", 36, 2)
+    trimmed = ranking.trim_sorted(docs, order, [F.col("length").desc_nulls_first(), F.col("doc_id").desc()], 36, 2)
     return stats.keep_first(trimmed, ["text"], "doc_id").select("doc_id", "length")
 
 
@@ -309,24 +312,22 @@ def answer_accuracy(spark, sf_dir):
 @query
 def char_to_token(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = spans.exploded_tokens(docs, "doc_id", "text")
-    points = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(97))).alias("point")).withColumn("_id", F.col("point").cast("long"))
-    found = spans.char_to_token(tokens, points, "doc_id")
+    points = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(31))).alias("point")).withColumn("_id", F.col("point").cast("long"))
+    found = spans.char_to_token(docs, points, "doc_id")
     return found.groupBy("doc_id").agg(F.count("idx").alias("n_on_token"), F.sum("idx").cast("long").alias("sum_idx"), F.count(F.lit(1)).alias("n_points"))
 
 
 @query
 def span_contract(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = spans.exploded_tokens(docs, "doc_id", "text")
-    cut = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(41))).alias("start")).withColumn("end", F.col("start") + 23).withColumn("_id", F.col("start").cast("long"))
-    return spans.contract_to_tokens(tokens, cut, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_tok").cast("long").alias("sum_start"), F.sum("end_tok").cast("long").alias("sum_end"))
+    cut = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(31))).alias("start")).withColumn("end", F.col("start") + 23).withColumn("_id", F.col("start").cast("long"))
+    return spans.contract_to_tokens(docs, cut, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_tok").cast("long").alias("sum_start"), F.sum("end_tok").cast("long").alias("sum_end"))
 
 
 @query
 def subsequence_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenize("text").alias("tokens"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(X.tokenize("text"), 1, 8).alias("tokens"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokenize("text").alias("tokens"))
     return spans.subsequence_matches(docs, items, "doc_id", "item_id").withColumn("first_tok", F.col("first_tok").cast("long"))
 
 
@@ -348,8 +349,8 @@ def merge_spans_array(spark, sf_dir):
 
 @query
 def resolve_overlaps(spark, sf_dir):
-    """Three overlapping families of spans over each document, resolved."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.least(F.length("text"), F.lit(100000)).alias("n"))
+    """Three overlapping families of spans over each whole document, resolved."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     family = lambda step, width, label: F.transform(F.sequence(F.lit(0), F.col("n"), F.lit(step)), lambda s: F.struct(s.alias("start"), (s + width).alias("end"), F.lit(label).alias("label")))
     made = docs.select("doc_id", F.concat(family(700, 60, "A"), family(410, 45, "B"), family(530, 75, "C")).alias("s"))
     return made.select("doc_id", F.explode(spans.resolve_overlaps("s")).alias("e")).select("doc_id", "e.start", "e.end", "e.label")
@@ -368,11 +369,14 @@ def relation_records(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     m = mentions(spark, sf_dir)
     nxt = Window.partitionBy("doc_id").orderBy("start")
-    pairs = m.withColumn("o", F.lead(F.struct("token", "type", "start", "end")).over(nxt)).where("o IS NOT NULL")
+    pairs = m.select("doc_id", "token", "type", "start", "end", F.lead(F.struct("token", "type", "start", "end")).over(nxt).alias("o")).where("o IS NOT NULL")
     rel = pairs.select("doc_id", F.col("token").alias("Subject"), F.col("type").alias("Subject_Type"), F.col("start").alias("Subject_Start"), F.col("end").alias("Subject_End"), F.col("o.token").alias("Object"), F.col("o.type").alias("Object_Type"), F.col("o.start").alias("Object_Start"), F.col("o.end").alias("Object_End"), F.lit("NEXT").alias("Relation"))
-    tokens = spans.exploded_tokens(docs, "doc_id", "text")
-    rec = spans.relation_records(rel, tokens, "doc_id")
-    return rec.select("doc_id", F.size("ner").cast("long").alias("n_ner"), F.size("relations").cast("long").alias("n_relations"), F.size("tokenized_text").cast("long").alias("n_tokens"))
+    rec = spans.relation_records(rel, docs, "doc_id")
+    place = lambda p: F.concat_ws("-", F.get(p, F.lit(0)).cast("string"), F.get(p, F.lit(1)).cast("string"))
+    ner = F.array_join(F.transform("ner", lambda m: F.concat_ws(":", m["start_tok"].cast("string"), m["end_tok"].cast("string"), m["type"], m["text"])), ",")
+    related = F.array_join(F.sort_array(F.transform("relations", lambda r: F.concat_ws(":", r["head"]["mention"], place(r["head"]["position"]), r["head"]["type"], r["tail"]["mention"], place(r["tail"]["position"]), r["tail"]["type"], r["relation_text"]))), ",")
+    sizes = (F.size(c).cast("long").alias(n) for c, n in (("ner", "n_ner"), ("relations", "n_relations"), ("tokenized_text", "n_tokens")))
+    return rec.select("doc_id", *sizes, F.md5(ner).alias("ner_md5"), F.md5(related).alias("relations_md5"), F.md5(F.array_join("tokenized_text", " ")).alias("tokens_md5"))
 
 
 # --- folds, samples, batches
@@ -415,7 +419,7 @@ def cursor_neighbours(spark, sf_dir):
 
 @query
 def rows_by_position(spark, sf_dir):
-    return table(spark, sf_dir, "documents").orderBy("doc_id").offset(1).limit(2).select("doc_id", "source")
+    return readers.rows_by_position(table(spark, sf_dir, "documents"), ["doc_id"], 1, 2).select("doc_id", "source")
 
 
 # --- retrieval

@@ -15,9 +15,12 @@ from ..operators.ranking import number_rows
 
 def write_csv(df: DataFrame, path: str, index: bool = False, order: Sequence[str] = ()) -> None:
     """CSV with a header; ``index`` puts an unnamed running number first, in the
-    given order."""
+    given order, or in the order of the columns' values where none is given, as
+    a distributed table has no order of its own.  An empty table writes a header
+    or no file; nulls are written as empty fields."""
     if index:
-        df = number_rows(df, [F.col(c) for c in order], "_index").select(F.col("_index").alias(""), *df.columns)
+        names = df.columns
+        df = number_rows(df, [F.col(f"`{c}`") for c in order or names], "_index").select(F.col("_index").alias(""), *(F.col(f"`{c}`") for c in names))
     df.write.mode("overwrite").option("escape", '"').csv(path, header=True)
 
 
@@ -27,11 +30,13 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def remaining(df: DataFrame, done_path: str, key: str) -> DataFrame:
-    """Rows whose key the table at ``done_path`` doesn't hold yet."""
+    """Rows whose key the table at ``done_path`` doesn't hold yet; a null key is
+    done once any row with a null key is."""
     spark = df.sparkSession
     if not exists(spark, done_path):
         return df
-    return df.join(spark.read.parquet(done_path).select(key), key, "left_anti")
+    done = spark.read.parquet(done_path).select(F.col(key).alias("_done"))
+    return df.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
 
 
 def resume(df: DataFrame, done_path: str, key: str, step: Callable[[DataFrame], DataFrame]) -> None:
@@ -83,12 +88,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def overwrite_in_place(df: DataFrame, path: str, write: Callable[[DataFrame, str], None] = lambda d, p: d.write.parquet(p)) -> None:
-    """Replaces the table that ``df`` reads: written beside it, then swapped."""
+    """Replaces the table that ``df`` reads: written beside it, then swapped by
+    two renames.  If the second fails the old table is put back, so the path
+    holds one of the two whenever this returns or raises."""
     spark = df.sparkSession
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     write(df, fresh)
     fs, target = _fs(spark, path)
     to = lambda p: _fs(spark, p)[1]
-    fs.rename(target, to(old))
-    fs.rename(to(fresh), target)
+    if not fs.rename(target, to(old)):
+        fs.delete(to(fresh), True)
+        raise OSError(f"{path} could not be moved; it is as it was")
+    if not fs.rename(to(fresh), target):
+        if not fs.rename(to(old), target):
+            raise OSError(f"{path} is at {old}, its new rows at {fresh}")
+        fs.delete(to(fresh), True)
+        raise OSError(f"{path} could not be replaced; it is as it was")
     fs.delete(to(old), True)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokenize
@@ -11,7 +12,10 @@ def vectors(spark, n=60, width=8):
     return m, spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
 
 
-def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("held", [0, 64_000_000])
+def test_nearest_equals_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", held)
+    monkeypatch.setattr(retrieval, "SLICE", 7)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 16)
     m, df = vectors(spark)
@@ -119,3 +123,20 @@ def test_incremental(spark, tmp_path):
         apply_incrementally(watch_parquet(spark, src, schema), lambda b: b.withColumn("n", F.length("t")), out, ck, "k").awaitTermination()
         spark.createDataFrame([(2, "b"), (3, "ccc")], "k long, t string").write.mode("append").parquet(src)
     assert sorted((r.k, r.n) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_index_recall_and_storage(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    m = centres[rng.integers(0, 12, 900)] + 0.4 * rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)] + [(900, None), (901, [0.0] * 16)], "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    built = retrieval.build_index(df, f"{tmp_path}/index", lists=24, sample=300)
+    assert built.table.count() == 900
+    index = retrieval.open_index(spark, f"{tmp_path}/index")
+    exact = {(r.query_id, r.vec_id) for r in retrieval.nearest(q, df, 10).collect()}
+    some = {(r.query_id, r.vec_id) for r in retrieval.probe(index, q, 10, n_lists=8).collect()}
+    assert len(exact & some) / len(exact) >= 0.9
+    assert {(r.query_id, r.vec_id) for r in retrieval.probe(index, q, 10, n_lists=24).collect()} == exact
+    none = retrieval.build_index(df.limit(0), f"{tmp_path}/none")
+    assert retrieval.probe(none, q, 3).collect() == []

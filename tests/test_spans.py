@@ -63,13 +63,13 @@ def test_alignment_equals_brute_force(spark):
     tokens = spans.exploded_tokens(docs, "d", "t")
     assert {(r.d, r.idx, r.start, r.end, r.token) for r in tokens.collect()} == {(d, i, *p) for d, t in texts.items() for i, p in enumerate(placed(t))}
     points = [(d, i, i) for d, t in texts.items() for i in range(len(t) + 2)]
-    got = {(r.d, r.point): r.idx for r in spans.char_to_token(tokens, spark.createDataFrame(points, "d long, _id long, point int"), "d").collect()}
+    got = {(r.d, r.point): r.idx for r in spans.char_to_token(docs, spark.createDataFrame(points, "d long, _id long, point int"), "d", "t").collect()}
     for d, t in texts.items():
         for i in range(len(t) + 2):
             if (d, i) in got or placed(t):
                 assert got.get((d, i)) == next((k for k, (s, e, _) in enumerate(placed(t)) if s <= i < e), None)
     cuts = [(d, s * 100 + e, s, e) for d, t in texts.items() for s in range(len(t)) for e in range(s, len(t) + 1)]
-    found = {(r.d, r.start, r.end): (r.start_tok, r.end_tok) for r in spans.contract_to_tokens(tokens, spark.createDataFrame(cuts, "d long, _id long, start int, end int"), "d").collect()}
+    found = {(r.d, r.start, r.end): (r.start_tok, r.end_tok) for r in spans.contract_to_tokens(docs, spark.createDataFrame(cuts, "d long, _id long, start int, end int"), "d", "t").collect()}
     for d, _, s, e in cuts:
         inside = [k for k, (a, b, _) in enumerate(placed(texts[d])) if s <= a and b <= e]
         assert found.get((d, s, e)) == ((inside[0], inside[-1]) if inside else None)
@@ -87,7 +87,7 @@ def test_relation_rows_and_records(spark):
     rows = joins.relation_rows(rel, texts, ments, strict=True)
     r = rows.collect()[0]
     assert (r.Subject, r.Subject_Type, r.Object, r.Object_Start, r.Relation) == ("abc", "CHEMICAL", "XYZ1", 7, "INHIBITOR")
-    rec = spans.relation_records(rows, spans.exploded_tokens(texts, "PMID", "Text")).collect()[0]
+    rec = spans.relation_records(rows, texts, text="Text").collect()[0]
     assert rec.tokenized_text == ["abc", "de", "XYZ1"]
     assert [tuple(n) for n in rec.ner] == [(0, 0, "CHEMICAL", "abc"), (2, 2, "GENE", "XYZ1")]
     assert rec.relations[0].head.mention == "abc" and rec.relations[0].tail.position == [2, 2]
@@ -123,3 +123,29 @@ def test_highlight_and_back(spark):
     back = spark.createDataFrame([([("a, ", None), ("b-x c", "G"), ("d", "")],)], "e array<struct<token:string,label:string>>")
     r = back.select(spans.tokens_and_labels("e").alias("r")).collect()[0].r
     assert r.tokens == ["a", ",", "b-x", "c", "d"] and [tuple(x) for x in r.ner] == [(2, 3, "G")]
+
+
+def test_long_texts_are_placed(spark):
+    text = " ".join(["ab", "c-d,", "é"] * 3000)
+    docs = spark.createDataFrame([(1, text), (2, None)], "d long, t string")
+    want = [(i, *p) for i, p in enumerate(placed(text))]
+    every = spans.exploded_tokens(docs, "d", "t")
+    assert [tuple(r)[1:] for r in every.orderBy("idx").collect()] == want
+    some = spans.exploded_tokens(docs, "d", "t", lambda t: t.rlike("^c"))
+    assert [tuple(r)[1:] for r in some.orderBy("idx").collect()] == [w for w in want if w[3][0] == "c"]
+
+
+def test_clusters_of_overlaps(spark):
+    given = [(10, 12, "A"), (0, 4, "B"), (3, 11, "C"), (12, 15, "D"), (20, 21, "E")]
+    got = one(spark, given, spans.overlap_clusters("c"), SPAN)
+    assert [[tuple(x) for x in c] for c in got] == [[(0, 4, "B"), (3, 11, "C"), (10, 12, "A")], [(12, 15, "D")], [(20, 21, "E")]]
+    assert one(spark, [], spans.resolve_overlaps("c"), SPAN) == [] and one(spark, None, spans.resolve_overlaps("c"), SPAN) is None
+
+
+def test_records_keep_whole_relations_only(spark):
+    rows = [(1, "a", "G", 0, 1, "b", "C", 2, 3, "R"), (1, "a", "A", 0, 1, " ", "C", 1, 2, "Q"), (2, "x", "G", 0, 1, "?", "C", 9, 10, "R")]
+    rel = spark.createDataFrame(rows, "k long, Subject string, Subject_Type string, Subject_Start int, Subject_End int, Object string, Object_Type string, Object_Start int, Object_End int, Relation string")
+    docs = spark.createDataFrame([(1, "a b"), (2, "x"), (3, "y")], "k long, text string")
+    got = spans.relation_records(rel, docs, "k").collect()
+    assert [r.k for r in got] == [1] and [x.relation_text for x in got[0].relations] == ["R"]
+    assert [tuple(n) for n in got[0].ner] == [(0, 0, "A", "a"), (1, 1, "C", "b")]

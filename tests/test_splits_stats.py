@@ -1,10 +1,12 @@
 import random
 import statistics
+from datetime import date, timedelta
+from decimal import Decimal
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import ranking, splits, stats
+from lexloom.operators import joins, ranking, splits, stats
 
 
 def test_folds_are_a_stratified_partition(spark):
@@ -40,7 +42,7 @@ def test_numbering_is_gapless_and_ordered(spark):
 
 def test_trim_split_sample_batches(spark):
     df = spark.createDataFrame([(i, None if i == 7 else i % 10) for i in range(50)], "k long, v long")
-    left = ranking.trim_sorted(df, [F.col("v").asc_nulls_last(), F.col("k")], [F.col("v").desc_nulls_first(), F.col("k").desc()], "k", 6, 2)
+    left = ranking.trim_sorted(df, [F.col("v").asc_nulls_last(), F.col("k")], [F.col("v").desc_nulls_first(), F.col("k").desc()], 6, 2)
     assert left.count() == 42 and 7 not in {r.k for r in left.collect()}
     parts = Counter(r.split for r in splits.ratio_split(df, "k", 0.7).collect())
     assert parts == {"train": 35, "test": 15}
@@ -75,3 +77,52 @@ def test_first_last_and_flags(spark):
     assert stats.mean_of_correct(df.withColumn("w", F.lit(9)), "v", "w").collect()[0].accuracy == 0.5
     assert [r.x for r in stats.value_counts(df, "x").collect()][0] == "b"
     assert stats.renamed_rows(df, "x", {"a": "z"}).where("x = 'z'").count() == 1
+
+
+def test_numbers_follow_any_type(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CUT_ROWS", 5)
+    rng = random.Random(1)
+    whole = [None, *[rng.randint(-50, 150) for _ in range(60)]]
+    kinds = {"decimal(9,2)": lambda x: Decimal(x) / 4, "string": str, "date": lambda x: date(2020, 1, 1) + timedelta(x), "double": float, "array<int>": lambda x: [x], "boolean": lambda x: x > 3}
+    for kind, make in kinds.items():
+        values = [None if x is None else make(x) for x in whole]
+        df = spark.createDataFrame([(v, "same") for v in values], f"v {kind}, w string").repartition(5)
+        got = sorted(ranking.number_rows(df, [F.col("v")], "n").collect(), key=lambda r: r.n)
+        assert [r.n for r in got] == list(range(len(values)))
+        assert [r.v for r in got] == sorted(values, key=lambda v: (v is not None, v if v is not None else values[-1])), kind
+    # One frequent first key is dealt by the next ones.
+    hot = spark.createDataFrame([("hot", i % 7, i) for i in range(90)], "a string, b int, c int")
+    assert [r.c for r in sorted(ranking.number_rows(hot, [F.col("a"), F.col("b")], "n").collect(), key=lambda r: r.n)][:13] and len(ranking._bounds(hot, ["a", "b"])) > 3
+
+
+def test_sums_before(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(-1, 60)], "k long, v long")
+    got = {r.k: r.s for r in ranking.sum_before(df, "k", "v", "s", width=7).collect()}
+    assert got == {i: sum(j % 5 for j in range(-1, i)) for i in range(-1, 60)}
+
+
+def test_trim_counts_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (3, None)], "k int, x string")
+    trim = lambda head, tail: sorted(tuple(r) for r in ranking.trim_sorted(df, [F.col("k")], [F.col("k").desc()], head, tail).select("k").collect())
+    assert trim(1, 0) == [(1,), (2,), (3,), (3,)] and trim(0, 1) == [(1,), (1,), (2,), (3,)]
+    assert trim(2, 2) == [(2,)] and trim(4, 4) == [] and trim(0, 0) == [(1,), (1,), (2,), (3,), (3,)]
+    ties = spark.createDataFrame([(1, "a"), (1, "b")], "k int, x string")
+    assert ranking.trim_sorted(ties, [F.col("k")], [F.col("k").desc()], 1, 0).count() == 1
+
+
+def test_first_of_ties_and_nulls(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 2, "z"), ("c", None, "n"), ("d", 5, "p"), ("d", 5, "q"), ("d", 5, "p"), (None, None, None)], "k string, pos int, o string")
+    got = sorted(((r.k, r.pos) for r in stats.keep_first(df, ["k"], "pos").collect()), key=str)
+    assert got == sorted([("a", 1), ("b", 2), ("c", None), ("d", 5), (None, None)], key=str)
+
+
+def test_maxima_of_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("g", 5), ("g", None)], "g string, v int")
+    assert {(r.g, r.v) for r in stats.flag_maximum(df, "v", ["g"]).where("is_max").collect()} == {(None, 2), ("g", 5)}
+
+
+def test_lookup_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    t = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (None, "never", 3)], "k int, v string, pos int")
+    assert {r.k: r.v for r in joins.with_default(df, t, "k", "v", "none", "pos").collect()} == {1: "new", 2: "none", None: "none"}
+    assert {r.k: r.v for r in joins.with_default(df, t, "k", "v", "none").collect()}[1] == "old"

@@ -107,4 +107,25 @@ def test_lexicon_matching(spark):
 def test_large_lexicon_equals_pattern(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["Alpha beta", "gamma", None, "alphabet", "x ALPHA."])], "k int, t string")
     many = [f"none{i}" for i in range(300)] + ["alpha"]
-    assert sorted(r.k for r in lexicon.filter_by_terms(df, ["t"], many, "k").collect()) == [0, 4]
+    assert sorted(r.k for r in lexicon.filter_by_terms(df, ["t"], many).collect()) == [0, 3, 4]
+
+
+def test_lexicons_of_any_size_agree(spark):
+    texts = ["Idiots!", "ßtraße", "STRASSE", "\u212aelvin", "ſaft", "İx", "ÉTÉ", "plain", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    terms = ["idiot", "straße", "kelvin", "saft", "été", "i̇x", ""]
+    few = sorted(r.k for r in lexicon.filter_by_terms(df, ["t"], terms).collect())
+    many = sorted(r.k for r in lexicon.filter_by_terms(df, ["t"], terms + [f"none{i}" for i in range(300)]).collect())
+    assert few == many and 0 in few
+    twice = spark.createDataFrame([("idiot", "idiots"), ("x", "IDIOT")], "a string, b string")
+    assert lexicon.filter_by_terms(twice, ["a", "b"], terms + [f"none{i}" for i in range(300)], dedupe=False).count() == 3
+    assert lexicon.filter_by_terms(df, ["t"], []).count() == 0
+
+
+def test_hits_by_many_terms(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "A a b"), (2, "b"), (3, None)], "k int, t string")
+    terms = spark.createDataFrame([("a",), ("B",), ("zz",), (None,)], "term string")
+    want = {("a", 1, 2), ("B", 2, 2)}
+    assert {tuple(r) for r in lexicon.hits_by_term(df, "t", terms, "k").collect()} == want
+    monkeypatch.setattr(lexicon, "LITERAL_TERMS", 1)
+    assert {tuple(r) for r in lexicon.hits_by_term(df, "t", terms, "k").collect()} == want
