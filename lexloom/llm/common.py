@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
@@ -36,10 +37,12 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.  A
-    local temporary folder only where that is unset, as in tests on one
-    machine."""
+    local temporary folder only where that is unset and everything runs in one
+    process, as in tests; on a cluster an unset folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="lexloom-")
         _OWN[app] = found
@@ -54,12 +57,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _STAGED: list[str] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Rows of whole texts that go to a worker at once: a batch lies in the memory
+#: of executor and worker outside their heaps.
+TEXT_ROWS = 1_000
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Batches of so many rows for jobs run inside; the session's own after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if rows is not None:
+            spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, and a
-    lost executor costs no more than the tasks it was running."""
+    lost executor costs no more than the tasks it was running.  ``rows`` bounds
+    the batches that go to workers on the way."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,15 +17,20 @@ connected components of the links.
 4. The components of these edges are candidate groups, a class being in one at
    most.  Only for these are full sets made, in a second scan that a bitmap of
    fixed size keeps to the texts wanted.  Each group is checked exactly on full
-   sets inside tasks, by an inverted index; groups over BLOCK classes are dealt
-   as pairs of blocks.  A task returns a spanning forest of the links, never
-   pairs.
+   sets inside tasks, by an inverted index.
+5. A group over BLOCK classes is dealt into blocks, and its centre, the class
+   that most candidates met in, goes to every block.  Blocks are checked apart;
+   classes that this links with the centre, directly or not, are one component
+   already, so no pair of them is looked at again.  Only the others meet the
+   other blocks.  A group of near copies thus costs what its rows cost, and no
+   link is lost.  Tasks return spanning forests of links, never pairs.
 
 Defined results: null text counts as empty; empty sets are linked with nothing;
 rows with a null id have no component (null) and are kept; of rows that share
 id and text all have one result; rows that share an id but not the text follow
-each its own text's class; an empty table gives no rows; other columns are
-ignored.  Ids are whole numbers.
+each its own text's class; a long text is hashed piece by piece and its set is
+whole; an empty table gives no rows; other columns are ignored.  Ids are whole
+numbers.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, drop_rows, pick, stage, text_slices, trim, trimmed, where_in_bitmap
+from .common import TEXT_ROWS, bitmap_of, drop_rows, pick, stage, text_slices, trim, trimmed, where_in_bitmap
 from .components import components
 from .shingles import Shingler, mix
 from .tokens import release
@@ -50,9 +55,9 @@ BITS = 2
 PERCENT = 75
 #: Least estimate from bit counts that goes on to the exact check.
 ESTIMATE = 0.5
-#: Classes of one candidate group, and hashes of their sets, that a task holds,
-#: twice; either bound cuts a group into blocks.
-BLOCK = 1_024
+#: Classes of one candidate group, and hashes of their sets, that a block holds;
+#: a task holds two at most.
+BLOCK = 512
 BLOCK_HASHES = 1 << 20
 SLICE_CHARS = 1_000_000
 
@@ -64,6 +69,7 @@ _BAND = _RNG.integers(0, 2**64, MINIMA // BAND_ROWS, dtype=np.uint64)
 _PER_LONG = 64 // BITS
 _SHIFT = (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS))[None, :]
 PACKED = [f"s{i}" for i in range(MINIMA * BITS // 64)]
+BANDS = [f"b{i}" for i in range(MINIMA // BAND_ROWS)]
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -86,8 +92,8 @@ def pack_bits(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """From (id, text): id, n, digest of the set, bands, and packed low bits;
-    the last three are null for empty sets.  A third column, ``key``, is kept."""
+    """From (id, text): id, n, digest of the set, band keys, and packed low bits;
+    all but n are null for empty sets.  A third column, ``key``, is kept."""
     keyed = len(docs.columns) > 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,24 +101,19 @@ def signatures(docs: DataFrame) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(1), SLICE_CHARS):
-                n, digest, bands, packed = [], [], [], []
-                for s in shingler.sets(texts):
+                n, digest, longs = [], [], np.zeros((len(texts), len(BANDS) + len(PACKED)), np.int64)
+                for row, s in zip(longs, shingler.sets(texts)):
                     n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if len(s):
                         m = minima(s)
-                        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(m))
-                        packed.append(pack_bits(m).tolist())
-                    else:
-                        digest.append(None)
-                        bands.append(None)
-                        packed.append([None] * len(PACKED))
-                cols = [batch.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                cols += [pa.array([p[i] for p in packed], pa.int64()) for i in range(len(PACKED))]
+                        row[: len(BANDS)], row[len(BANDS) :] = band_keys(m), pack_bits(m)
+                none = np.array(n, np.int64) == 0
+                cols = [batch.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(c, pa.int64(), mask=none) for c in longs.T)]
                 cols += [batch.column(2)[lo:hi]] if keyed else []
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "digest", "bands", *PACKED, *(["key"] if keyed else [])])
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "digest", *BANDS, *PACKED, *(["key"] if keyed else [])])
 
-    return docs.mapInArrow(trimmed(run), "id long, n long, digest binary, bands array<long>, " + ", ".join(f"{p} long" for p in PACKED) + ", key binary" * keyed)
+    return docs.mapInArrow(trimmed(run), "id long, n long, digest binary, " + ", ".join(f"{c} long" for c in (*BANDS, *PACKED)) + ", key binary" * keyed)
 
 
 def estimate(left: str, right: str):
@@ -138,9 +139,10 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(trimmed(run), "id long, hashes binary, digest binary")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def linked(sets: list[np.ndarray], side: np.ndarray, tight: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
     """For each set the number of the first set of its component.  Pairs of the
-    same non-zero side are not compared; they meet in another task."""
+    same non-zero side are not compared, as they have met in another task, nor
+    pairs of tight sets, which are in one component already."""
     m = len(sets)
     root = np.arange(m)
 
@@ -158,7 +160,12 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
     posts, ends = owner[order], np.cumsum(np.bincount(token))
     begins = np.concatenate([[0], ends[:-1]])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(m):
+    tight = np.zeros(m, bool) if tight is None else tight
+    first = np.zeros(m, bool)
+    if tight.any():
+        # Each pair is seen from a set that is not tight.
+        first = tight
+    for i in np.flatnonzero(~first).tolist():
         own = token[at[i] : at[i + 1]]
         lo, n = begins[own], ends[own] - begins[own]
         shared = n > 1
@@ -168,7 +175,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
         places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(posts[places], minlength=m)
         hit = 100 * common >= percent * (sizes + sizes[i] - common)
-        hit[: i + 1] = False
+        hit[: i + 1] &= first[: i + 1]
         if side[i]:
             hit &= side != side[i]
         for j in np.flatnonzero(hit).tolist():
@@ -179,14 +186,16 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
 
 
 def _check(table: pa.Table) -> pa.Table:
-    """One candidate group, or two blocks of one: (a, b, blocked) for each class
-    that is linked, b being the least class that it is linked with."""
+    """A candidate group, a block of one with the group's centre, or what must
+    still meet of two blocks: (a, b, blocked) for each class that is linked, b
+    being the least class that it is linked with."""
     ids = table.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     sets = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").take(pa.array(order)).to_pylist()]
     block, i, j = table.column("block").to_numpy()[order], table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    root = linked(sets, np.where(block == i, 1, 2) if i != j else np.zeros(len(ids), np.int64))
+    tight = table.column("tight").to_numpy()[order]
+    root = linked(sets, np.where(block == i, 1, 2) if i != j else np.zeros(len(ids), np.int64), tight if i != j else None)
     moved = root != np.arange(len(ids))
     blocked = table.column("blocks")[0].as_py() > 1
     if len(ids) > 500:
@@ -195,19 +204,53 @@ def _check(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64()), "blocked": pa.array([blocked] * int(moved.sum()), pa.bool_())})
 
 
+_LINKS = "a long, b long, blocked boolean"
+_DEALT = ("id", "g", "blocks", "block", "tight", "hashes", "i", "j")
+
+
+def _links(sets: DataFrame, any_blocked: bool) -> DataFrame:
+    """(a, b, blocked) over all candidate groups, from (id, g, blocks, centre,
+    hashes)."""
+    dealt = sets.withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "tight": F.lit(False)})
+    own = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    apart = dealt.withColumn("i", F.explode(own)).withColumn("j", F.col("i"))
+    found = stage(apart.select(*_DEALT).groupBy("g", "i", "j").applyInArrow(_check, _LINKS), "links")
+    if not any_blocked:
+        return found
+    rooted = components(found.where("blocked").select("a", "b"), "block-links")
+    rooted = rooted.withColumnRenamed("a", "_a")
+    parts = dealt.where("blocks > 1").select("id", "g", "blocks", "block", "centre").join(rooted, F.col("id") == F.col("_a"), "left")
+    parts = parts.withColumn("root", F.coalesce("root", "id")).drop("_a")
+    centres = parts.where("id = centre").select(F.col("g").alias("_g"), F.col("root").alias("_root"))
+    parts = stage(parts.join(centres, F.col("g") == F.col("_g")).withColumn("loose", F.col("root") != F.col("_root")).select("id", "g", "block", "blocks", "loose"), "block-parts")
+    # At most a group's blocks for each group.
+    loose = parts.where("loose").groupBy("g").agg(F.collect_set("block").alias("with_loose")).withColumnRenamed("g", "_g")
+    if loose.isEmpty():
+        return found
+    others = F.when(F.col("loose"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("with_loose"))
+    met = parts.join(loose, F.col("g") == F.col("_g")).withColumn("other", F.explode(others)).where("other <> block")
+    met = met.select(F.col("id").alias("_id"), (~F.col("loose")).alias("_tight"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = dealt.drop("tight").join(met, F.col("id") == F.col("_id")).withColumnRenamed("_tight", "tight")
+    across = stage(pairs.select(*_DEALT).groupBy("g", "i", "j").applyInArrow(_check, _LINKS), "links-across")
+    return found.unionByName(across)
+
+
 def text_key(text: Column) -> Column:
     """What tells texts apart: SHA-256, null as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept (and its text's key)."""
+    """Per row: id, n_shingles, component_id, kept (and its text's key); odd rows
+    as the module says."""
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     extra = ["key"] if with_key else []
-    sigs = stage(signatures(rows.withColumn("key", text_key(F.col("text"))) if with_key else rows), "signatures")
+    sigs = stage(signatures(rows.withColumn("key", text_key(F.col("text"))) if with_key else rows), "signatures", TEXT_ROWS)
 
     named = sigs.where("n > 0 AND id IS NOT NULL")
-    classes = stage(named.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", *PACKED))).withColumn("class", F.xxhash64("digest")), "classes")
+    # All numbers, so that copies meet in a hash table and nothing is sorted.
+    merged = named.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *BANDS, *PACKED)))
+    classes = stage(merged.select(F.xxhash64("digest").alias("class"), "digest", "rep", "n", F.array(*BANDS).alias("bands"), *PACKED), "classes")
 
     keys = classes.select("class", F.explode("bands").alias("key"))
     # XOR with the key, itself random, makes the choice of the centre random.
@@ -221,23 +264,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = components(likely.unionByName(edges.where("NOT pair").select(F.col("class").alias("a"), F.col("centre").alias("b"))), "candidates")
 
     members = candidates.select(F.col("a").alias("member"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("member"), F.col("root").alias("g")).distinct())
-    sized = stage(members.join(classes.select(F.col("class").alias("member"), "n", "rep"), "member"), "members")
+    degrees = edges.groupBy(F.col("centre").alias("_centre")).agg(F.count(F.lit(1)).alias("degree"))
+    sized = members.join(classes.select(F.col("class").alias("member"), "n", "rep"), "member").join(degrees, F.col("member") == F.col("_centre"), "left")
+    sized = stage(sized.select("member", "g", "n", "rep", F.coalesce("degree", F.lit(0)).alias("degree")), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
-    sizes = sized.groupBy("g").agg(blocks.alias("blocks")).withColumnRenamed("g", "_g")
-    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks", "rep"), "groups")
+    sizes = sized.groupBy("g").agg(blocks.alias("blocks"), F.max_by("member", F.struct("degree", "member")).alias("centre")).withColumnRenamed("g", "_g")
+    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks", "centre", "rep"), "groups")
+    any_blocked = not groups.where("blocks > 1").isEmpty()
 
     wanted = where_in_bitmap(rows.where("id IS NOT NULL"), "id", bitmap_of(groups, "rep"))
     # A class by one of its rows: its least id may have rows of other texts.
-    sets = set_table(wanted.select("id", "text")).withColumn("class", F.xxhash64("digest"))
-    sets = sets.join(groups, (F.col("class") == F.col("member")) & (F.col("id") == F.col("rep"))).select(F.col("class").alias("id"), "g", "blocks", "hashes").dropDuplicates(["id"])
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> named_struct('i', least(k, block), 'j', greatest(k, block)))")))
-    links = dealt.select("id", "g", "blocks", "block", "hashes", "pair.i", "pair.j").groupBy("g", "i", "j").applyInArrow(_check, "a long, b long, blocked boolean")
-    links = stage(links, "links")
+    made = stage(set_table(wanted.select("id", "text")), "sets", TEXT_ROWS).withColumn("class", F.xxhash64("digest"))
+    sets = made.join(groups, (F.col("class") == F.col("member")) & (F.col("id") == F.col("rep"))).select(F.col("class").alias("id"), "g", "blocks", "centre", "hashes").dropDuplicates(["id"])
+    links = _links(stage(sets, "group-sets") if any_blocked else sets, any_blocked)
     inside = links.where("NOT blocked").select("a", F.col("b").alias("root"))
-    across = links.where("blocked").select("a", "b")
-    if not across.isEmpty():
-        inside = inside.unionByName(components(across, "blocked-links"))
+    if any_blocked:
+        inside = inside.unionByName(components(links.where("blocked").select("a", "b"), "blocked-links"))
 
     # A component is named by the least id of its classes.  Written, so that a hot
     # component can be split over tasks.
@@ -253,8 +295,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those linked to one of smaller id, columns as they
-    were.  Rows are told apart by id and text.  Only texts that the bitmap of
-    dropped ids lets through are shuffled."""
+    were.  Rows are told apart by id and text: rows with a null id and rows whose
+    texts are empty or null stay, repeated rows stay or go together, a row of
+    another text stays whatever its id, and an empty table stays empty.  Only
+    texts that the bitmap of dropped ids lets through are shuffled."""
     quick, exact = {"id": lambda i, t: i.cast("long")}, {"key": lambda i, t: text_key(t)}
     dropped = near_duplicates(docs, id_col, text_col, with_key=True).where(~F.col("kept")).select(F.col(id_col).alias("id"), "key").distinct()
     return drop_rows(docs, id_col, text_col, stage(dropped, "dropped"), quick, exact)

@@ -183,7 +183,7 @@ def _scheduled(rows: DataFrame, weights: Mapping[str, float] | None, block_rows:
     bucket = F.when(F.col("_bits") == 0, 0).otherwise(F.call_function("shiftrightunsigned", order, 64 - F.col("_bits")).cast("int"))
     light = marked.select("id", "_from", "_bits")
     # Hashes in unsigned order, as the buckets are.
-    numbered = number_groups(marked, ["_from"], bucket, [order < 0, order, F.col("id")], "_row", counts_from=light)
+    numbered = number_groups(marked, ["_from"], bucket, [order < 0, order, F.col("id")], "_row", counts_from=light, few=len(sizes) * RANK_BUCKETS <= BROADCAST_ROWS)
     numbered = numbered.withColumn("_block", F.expr(f"_row div {block_rows}L"))
     found = numbered.join(small(placed, len(plan)), (F.col("_from") == F.col("_source")) & (F.col("_block") == F.col("block")))
     found = found.withColumn("position", F.col("_start") + F.col("_row") % block_rows)

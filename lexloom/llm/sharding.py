@@ -54,5 +54,5 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown_by: flo
     light = stage(both, "shards")
     bucket = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("crc").cast("string"), F.lit("slot"))), 1, 8), 16, 10).cast("long") % RANK_BUCKETS
     order = [F.col("id").asc_nulls_first(), F.col("size"), F.col("crc")]
-    numbered = number_groups(light, ["home"], bucket.cast("int"), order, "slot")
+    numbered = number_groups(light, ["home"], bucket.cast("int"), order, "slot", few=True)
     return numbered.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("home").alias("shard"), "slot", F.col("grown").cast("int").alias("grown_shard"))

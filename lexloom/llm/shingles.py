@@ -7,9 +7,14 @@ words none."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 WORDS = 5
+#: Bytes of a long text that are hashed at a time, to the end of a word.
+PIECE = 1_000_000
+_GAP = re.compile(rb"[ \t-\r]")
 _RNG = np.random.default_rng(20240229)
 _odd = lambda n: _RNG.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
 _BYTE = _odd(256)
@@ -52,11 +57,27 @@ class Shingler:
         h = (sums[last] - sums[first]) * self.inverse[first]
         return mix(h + (last - first).astype(np.uint64) * _LENGTH), np.searchsorted(first, starts_of)
 
+    def words(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of several texts, and where each text's begin.  One
+        long text goes piece by piece, as each byte takes some fifty beside it."""
+        if len(raws) > 1 or len(raws[0]) <= 2 * PIECE:
+            starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
+            return self.word_hashes(b"\n".join([*raws, b""]), starts)
+        found, lo, raw = [], 0, raws[0]
+        while lo < len(raw):
+            gap = _GAP.search(raw, lo + PIECE)
+            hi = gap.start() if gap else len(raw)
+            found.append(self.word_hashes(raw[lo:hi], np.zeros(1, np.int64))[0])
+            lo = hi
+        hashes = np.concatenate(found)
+        return hashes, np.array([0, len(hashes)])
+
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's set as a sorted array."""
         raws = [t.encode("utf-8", "replace").lower() for t in texts]
-        starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
-        hashes, bounds = self.word_hashes(b"\n".join([*raws, b""]), starts)
+        if not raws:
+            return []
+        hashes, bounds = self.words(raws)
         n = len(hashes) - WORDS + 1
         if n > 0:
             runs = hashes[:n] * _PLACE[0]
@@ -69,8 +90,8 @@ class Shingler:
                 s = np.sort(runs[lo : hi - WORDS + 1])
                 out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
             elif hi > lo:
-                own = np.uint64(hi - lo) * _LENGTH + (hashes[lo:hi] * _PLACE[: hi - lo]).sum(dtype=np.uint64)
-                out.append(mix(np.array([own], dtype=np.uint64)))
+                own = np.array([hi - lo], dtype=np.uint64) * _LENGTH + (hashes[lo:hi] * _PLACE[: hi - lo]).sum(dtype=np.uint64)
+                out.append(mix(own))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
         return out

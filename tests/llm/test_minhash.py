@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from lexloom.llm import minhash
+from lexloom.llm import minhash, shingles
 from lexloom.llm.components import components
 from lexloom.llm.shingles import Shingler
 
@@ -100,3 +100,31 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {(r.a, r.root) for r in components(edges).collect()}
     assert got == {(i, 0) for i in range(1, 41)} | {(101, 100)}
+
+
+def test_long_text_piece_by_piece(monkeypatch):
+    text = "\t".join("word%d" % (i % 300) for i in range(4000)) + " " + "x" * 5000 + " é end"
+    whole = Shingler().sets([text])[0]
+    monkeypatch.setattr(shingles, "PIECE", 700)
+    assert (Shingler().sets([text])[0] == whole).all()
+
+
+def test_a_group_wider_than_its_centre(spark, monkeypatch):
+    """Near copies of one text, and a chain that leads away from it: classes that
+    the centre doesn't reach must still meet those of other blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(300)]
+    texts = []
+    for _ in range(40):
+        copy = list(words)
+        copy[rng.randrange(300)] = "edit%d" % rng.randrange(10**6)
+        texts.append(" ".join(copy))
+    chain = list(words)
+    for k in range(25):
+        chain[10 * k : 10 * k + 10] = ["c%d-%d" % (k, j) for j in range(10)]
+        texts.append(" ".join(chain))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
