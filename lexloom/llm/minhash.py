@@ -185,54 +185,58 @@ def linked(sets: list[np.ndarray], side: np.ndarray, tight: np.ndarray | None =
     return np.array([find(i) for i in range(m)])
 
 
+_LINKS = "a long, b long, g long, blocks int, block int, loose boolean"
+_DEALT = ("id", "g", "blocks", "block", "centre", "tight", "hashes", "i", "j")
+
+
 def _check(table: pa.Table) -> pa.Table:
     """A candidate group, a block of one with the group's centre, or what must
-    still meet of two blocks: (a, b, blocked) for each class that is linked, b
-    being the least class that it is linked with."""
+    still meet of two blocks: (a, b) for each class that is linked, b standing
+    for its component.
+
+    Of a block every class comes back, ``loose`` unless it is in the centre's
+    component, for which the centre stands."""
     ids = table.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     sets = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").take(pa.array(order)).to_pylist()]
-    block, i, j = table.column("block").to_numpy()[order], table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    tight = table.column("tight").to_numpy()[order]
+    block, tight = table.column("block").to_numpy()[order], table.column("tight").to_numpy()[order]
+    i, j, g, blocks, centre = (table.column(c)[0].as_py() for c in ("i", "j", "g", "blocks", "centre"))
     root = linked(sets, np.where(block == i, 1, 2) if i != j else np.zeros(len(ids), np.int64), tight if i != j else None)
-    moved = root != np.arange(len(ids))
-    blocked = table.column("blocks")[0].as_py() > 1
+    to, loose = ids[root], np.ones(len(ids), bool)
+    given = root != np.arange(len(ids))
+    if blocks > 1 and i == j:
+        loose = root != root[np.searchsorted(ids, centre)]
+        to, given = np.where(loose, to, centre), block == i
     if len(ids) > 500:
         del sets
         trim()
-    return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64()), "blocked": pa.array([blocked] * int(moved.sum()), pa.bool_())})
-
-
-_LINKS = "a long, b long, blocked boolean"
-_DEALT = ("id", "g", "blocks", "block", "tight", "hashes", "i", "j")
+    n = int(given.sum())
+    return pa.table({"a": pa.array(ids[given], pa.int64()), "b": pa.array(to[given], pa.int64()), "g": pa.array([g] * n, pa.int64()), "blocks": pa.array([blocks] * n, pa.int32()), "block": pa.array(block[given], pa.int32()), "loose": pa.array(loose[given], pa.bool_())})
 
 
 def _links(sets: DataFrame, any_blocked: bool) -> DataFrame:
-    """(a, b, blocked) over all candidate groups, from (id, g, blocks, centre,
-    hashes)."""
+    """(a, root) over all candidate groups, from (id, g, blocks, centre, hashes):
+    each class that is linked with another, and what stands for its component."""
     dealt = sets.withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "tight": F.lit(False)})
     own = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     apart = dealt.withColumn("i", F.explode(own)).withColumn("j", F.col("i"))
     found = stage(apart.select(*_DEALT).groupBy("g", "i", "j").applyInArrow(_check, _LINKS), "links")
+    inside = found.where("blocks = 1").select("a", F.col("b").alias("root"))
     if not any_blocked:
-        return found
-    rooted = components(found.where("blocked").select("a", "b"), "block-links")
-    rooted = rooted.withColumnRenamed("a", "_a")
-    parts = dealt.where("blocks > 1").select("id", "g", "blocks", "block", "centre").join(rooted, F.col("id") == F.col("_a"), "left")
-    parts = parts.withColumn("root", F.coalesce("root", "id")).drop("_a")
-    centres = parts.where("id = centre").select(F.col("g").alias("_g"), F.col("root").alias("_root"))
-    parts = stage(parts.join(centres, F.col("g") == F.col("_g")).withColumn("loose", F.col("root") != F.col("_root")).select("id", "g", "block", "blocks", "loose"), "block-parts")
+        return inside
+    parts = found.where("blocks > 1")
+    stars = parts.where("a <> b").select("a", "b")
     # At most a group's blocks for each group.
-    loose = parts.where("loose").groupBy("g").agg(F.collect_set("block").alias("with_loose")).withColumnRenamed("g", "_g")
+    loose = parts.where("loose").groupBy(F.col("g").alias("_g")).agg(F.collect_set("block").alias("with_loose"))
     if loose.isEmpty():
-        return found
+        return inside.unionByName(stars.withColumnRenamed("b", "root"))
     others = F.when(F.col("loose"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("with_loose"))
-    met = parts.join(loose, F.col("g") == F.col("_g")).withColumn("other", F.explode(others)).where("other <> block")
-    met = met.select(F.col("id").alias("_id"), (~F.col("loose")).alias("_tight"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = parts.join(stage(loose, "loose"), F.col("g") == F.col("_g")).withColumn("other", F.explode(others)).where("other <> block")
+    met = met.select(F.col("a").alias("_id"), (~F.col("loose")).alias("_tight"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     pairs = dealt.drop("tight").join(met, F.col("id") == F.col("_id")).withColumnRenamed("_tight", "tight")
-    across = stage(pairs.select(*_DEALT).groupBy("g", "i", "j").applyInArrow(_check, _LINKS), "links-across")
-    return found.unionByName(across)
+    across = pairs.select(*_DEALT).groupBy("g", "i", "j").applyInArrow(_check, _LINKS).select("a", "b")
+    return inside.unionByName(components(stars.unionByName(across), "blocked-links"))
 
 
 def text_key(text: Column) -> Column:
@@ -268,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = members.join(classes.select(F.col("class").alias("member"), "n", "rep"), "member").join(degrees, F.col("member") == F.col("_centre"), "left")
     sized = stage(sized.select("member", "g", "n", "rep", F.coalesce("degree", F.lit(0)).alias("degree")), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
-    sizes = sized.groupBy("g").agg(blocks.alias("blocks"), F.max_by("member", F.struct("degree", "member")).alias("centre")).withColumnRenamed("g", "_g")
+    # Written, so that a hot group can be split over tasks when it meets its size.
+    sizes = stage(sized.groupBy("g").agg(blocks.alias("blocks"), F.max_by("member", "degree").alias("centre")).withColumnRenamed("g", "_g"), "sizes")
     groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks", "centre", "rep"), "groups")
     any_blocked = not groups.where("blocks > 1").isEmpty()
 
@@ -276,10 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class by one of its rows: its least id may have rows of other texts.
     made = stage(set_table(wanted.select("id", "text")), "sets", TEXT_ROWS).withColumn("class", F.xxhash64("digest"))
     sets = made.join(groups, (F.col("class") == F.col("member")) & (F.col("id") == F.col("rep"))).select(F.col("class").alias("id"), "g", "blocks", "centre", "hashes").dropDuplicates(["id"])
-    links = _links(stage(sets, "group-sets") if any_blocked else sets, any_blocked)
-    inside = links.where("NOT blocked").select("a", F.col("b").alias("root"))
-    if any_blocked:
-        inside = inside.unionByName(components(links.where("blocked").select("a", "b"), "blocked-links"))
+    inside = _links(stage(sets, "group-sets") if any_blocked else sets, any_blocked)
 
     # A component is named by the least id of its classes.  Written, so that a hot
     # component can be split over tasks.
