@@ -1,30 +1,34 @@
 """Quality rules as a short-circuit cascade (operator 6).
 
 Each rule rejects a text by a few measures of it.  A sample tells what share of
-texts each rule rejects and, from the sizes of texts and the unit costs stated
-with the measures, what evaluating it costs; rules then stand in order of
-rejection per cost, and a rule is evaluated only for texts that all before it
-have passed.  A measure that an earlier rule has needed is free for a later
-one.  The order changes the work, never the verdict.
+texts each rule rejects, and each measure is timed on it; rules then stand in
+order of rejection per cost, and a rule is evaluated only for texts that all
+before it have passed: its measures stand inside its branch.  Measures that a
+caller is owed for every row are computed beside the cascade and cost a rule
+nothing.  The order changes the work, never the verdict.
 
 Everything is built of SQL functions.  ``cascade`` names the rule that rejects;
 ``measures`` gives every measure of every text.
 
 Defined results: null text counts as empty; a text without words has only zeros
-and fails the base rules; rows with a null id and repeated rows are judged as
-any other; an empty table gives no rows; other columns are ignored.
+and fails the base rules; very long texts are measured whole; rows with a null
+id and repeated rows are judged as any other; rules that tie in rejection per
+cost go by cost, then name; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import time
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, stage
 
+#: About so many rows are sampled, twice as many at most.
 SAMPLE_ROWS = 2_000
 BASE_WORDS = 50
 BASE_REPEAT_PERCENT = 50
@@ -70,26 +74,23 @@ def repeated_words(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Measure:
-    """A value of ``_text`` and ``_words``, and its cost in nanoseconds for each
-    character and word of a text."""
+    """A value of ``_text`` and ``_words``."""
 
     name: str
     value: Column
-    per_char: float
-    per_word: float
 
 
 def base_measures() -> list[Measure]:
     count = lambda kept: F.length(F.regexp_replace("_text", f"[^{kept}]+", "")).cast("long")
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return [
-        Measure("n_words", F.size("_words").cast("long"), 0, 1),
-        Measure("word_chars", F.length(F.array_join("_words", "")).cast("long"), 0.5, 20),
-        Measure("n_symbols", count("#*$%&|<>"), 4, 0),
-        Measure("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), 6, 0),
-        Measure("n_repeat_words", repeated_words(F.col("_words")), 0, 400),
-        Measure("n_marks", count("!?"), 4, 0),
-        Measure("n_capitals", count(r"\p{Lu}"), 8, 0),
+        Measure("n_words", F.size("_words").cast("long")),
+        Measure("word_chars", F.length(F.array_join("_words", "")).cast("long")),
+        Measure("n_symbols", count("#*$%&|<>")),
+        Measure("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        Measure("n_repeat_words", repeated_words(F.col("_words"))),
+        Measure("n_marks", count("!?")),
+        Measure("n_capitals", count(r"\p{Lu}")),
     ]
 
 
@@ -99,7 +100,7 @@ class Rule:
 
     name: str
     needs: tuple[str, ...]
-    rejects: Callable[[Mapping[str, Column] | Column], Column]
+    rejects: Callable[[Mapping[str, Column]], Column]
 
 
 #: The base rules come first; the cascade sets the order.
@@ -125,54 +126,76 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _texts(docs, id_col, text_col).select("id", *(m.value.alias(m.name) for m in base_measures()))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost on the first ``sample_rows`` rows.
+def _sample(texts: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` texts by a hash of id and text, 2 ``rows`` at most; written,
+    so that timing reads nothing else."""
+    step = max(1, texts.count() // max(rows, 1))
+    drawn = texts.where(F.pmod(F.xxhash64("id", "_text"), F.lit(step)) == 0).limit(2 * rows)
+    return stage(drawn.select("id", "_text"), "rules-sample").withColumn("_words", words_of(F.col("_text")))
+
+
+def _seconds(sample: DataFrame, value: Column, times: int = 2) -> float:
+    def once() -> float:
+        began = time.perf_counter()
+        sample.select(value).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    return min(once() for _ in range(times))
+
+
+def costs(sample: DataFrame, measures: Sequence[Measure]) -> dict[str, float]:
+    """Seconds that each measure takes on a sample, beyond those for its words."""
+    spare = _seconds(sample, F.size("_words"), 3)
+    return {m.name: max(_seconds(sample, m.value) - spare, 1e-4) for m in measures}
+
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, owed: Sequence[str] = (), measures: Sequence[Measure] | None = None) -> list[Rule]:
+    """Rules by rejection per cost on a sample, drawn by hash.
 
     Greedy: each place goes to the rule with the most rejections, of sampled
-    texts that all rules before it pass, for the cost of the measures still to
-    be computed.  Ties, and rules that reject nothing, go by cost, then name."""
-    costs = {m.name: m for m in base_measures()}
-    sample = measures(docs, id_col, text_col)
-    flags = [r.rejects({m: F.col(m) for m in r.needs}).cast("int").alias(r.name) for r in rules]
-    # Numbers of at most sample_rows rows.  A limit right under collect() reads
-    # one partition and further ones only while rows are wanting.
-    seen = sample.select(*flags, "n_words", "word_chars").limit(sample_rows).collect()
-    words, chars = sum(r.n_words for r in seen), sum(r.word_chars + r.n_words for r in seen)
-    total = max(1, len(seen))
-    left, had, out = list(rules), set(), []
+    texts that all rules before it pass, for the cost of its measures; owed ones
+    cost nothing."""
+    known = base_measures() if measures is None else list(measures)
+    used = {m for r in rules for m in r.needs}
+    sample = _sample(_texts(docs, id_col, text_col), sample_rows)
+    flags = sample.select(*(m.value.alias(m.name) for m in known if m.name in used))
+    # Numbers of at most 2 sample_rows rows.
+    seen = flags.select(*(F.coalesce(r.rejects({m: F.col(m) for m in r.needs}), F.lit(False)).cast("int").alias(r.name) for r in rules)).collect()
+    priced = costs(sample, [m for m in known if m.name in used and m.name not in owed]) if seen else {}
+    left, out = list(rules), []
     while left:
         passed = [r for r in seen if not any(r[x.name] for x in out)]
 
         def gain(rule: Rule) -> tuple[float, float, str]:
-            new = [costs[m] for m in rule.needs if m not in had]
-            cost = 1.0 + sum(m.per_char * chars + m.per_word * words for m in new) / total
+            cost = 1e-6 + sum(priced.get(m, 0.0) for m in rule.needs)
             return -sum(r[rule.name] for r in passed) / cost, cost, rule.name
 
         best = min(left, key=gain)
         out.append(best)
-        had |= set(best.needs)
         left.remove(best)
     return out
 
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", with_measures: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per row: id, rejected_by (the first rule in order that rejects, null if
-    none does) and kept; all measures too if wanted.
+def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", owed: Sequence[str] = (), sample_rows: int = SAMPLE_ROWS, ordered: Sequence[Rule] | None = None, measures: Sequence[Measure] | None = None) -> DataFrame:
+    """Per row: id, the ``owed`` measures, rejected_by (the first rule in order
+    that rejects, null if none does) and kept.
 
-    Without them, a measure is a part of the rule's branch and only computed
-    where the branch is reached."""
-    ordered = order_rules(docs, rules, id_col, text_col, sample_rows)
+    Any other measure is a part of its rule's branch and only computed where the
+    branch is reached.  ``ordered`` gives rules in an order found before."""
+    known = {m.name: m.value for m in (base_measures() if measures is None else measures)}
+    ordered = order_rules(docs, rules, id_col, text_col, sample_rows, owed, measures) if ordered is None else ordered
     rows = _texts(docs, id_col, text_col)
-    if with_measures:
-        rows = rows.select("id", *(m.value.alias(m.name) for m in base_measures()))
-        verdict = lambda rule: rule.rejects({m: F.col(m) for m in rule.needs})
-    else:
-        named = {m.name: m.value for m in base_measures()}
-        verdict = lambda rule: let(F.struct(*(named[m].alias(m) for m in rule.needs)), rule.rejects)
+    rows = rows.select("id", "_text", "_words", *(known[m].alias(f"_m_{m}") for m in owed))
+
+    def rejects(rule: Rule) -> Column:
+        given = {m: F.col(f"_m_{m}") for m in rule.needs if m in owed}
+        own = [m for m in rule.needs if m not in owed]
+        if not own:
+            return rule.rejects(given)
+        return let(F.struct(*(known[m].alias(m) for m in own)), lambda x: rule.rejects(given | {m: x[m] for m in own}))
 
     first = None
     for rule in ordered:
-        first = F.when(verdict(rule), rule.name) if first is None else first.when(verdict(rule), rule.name)
-    out = rows.withColumn("rejected_by", first)
-    names = [m.name for m in base_measures()] if with_measures else []
-    return out.select(F.col("id").alias(id_col), *names, "rejected_by", F.col("rejected_by").isNull().alias("kept"))
+        first = F.when(rejects(rule), rule.name) if first is None else first.when(rejects(rule), rule.name)
+    out = rows.withColumn("rejected_by", F.lit(None).cast("string") if first is None else first)
+    return out.select(F.col("id").alias(id_col), *(F.col(f"_m_{m}").alias(m) for m in owed), "rejected_by", F.col("rejected_by").isNull().alias("kept"))
