@@ -40,7 +40,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.cascade(documents(spark, sf_dir), with_measures=True)
+    out = quality_rules.cascade(documents(spark, sf_dir), owed=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     base_failed = (F.col("n_words") < quality_rules.BASE_WORDS) | (100 * F.col("n_repeat_words") > quality_rules.BASE_REPEAT_PERCENT * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept")
 
@@ -61,8 +61,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(documents(spark, sf_dir))
-    counts = (pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS)
-    return out.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    counts = (pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE_KINDS)
+    found = F.size("spans").cast("long")
+    return out.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), pii.counted(F.col("spans"), "secret").alias("n_secret"), found.alias("n_spans"), (found > 0).alias("has_personal_data"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
