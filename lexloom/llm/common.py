@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -140,32 +141,44 @@ def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[st
         yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
-#: A bitmap over hashed keys has 2^16 words of 64 bits: 4,194,304 bits in at most
-#: 65,536 rows of 16 bytes, whatever it is made of.
+#: A bitmap over hashed keys has 2^16 to 2^20 words of 64 bits, some 16 bits for
+#: each key while that lasts: at most 1,048,576 rows of 16 bytes.
 WORD_BITS = 16
+MOST_WORD_BITS = 20
 
 
-def _place(key: str) -> tuple[str, str]:
+def _place(key: str, bits: int) -> tuple[str, str]:
     """The word of a key, from the top bits of its hash, and its bit there."""
-    return f"cast(shiftrightunsigned(xxhash64({key}), {64 - WORD_BITS}) AS int)", f"cast(shiftrightunsigned(xxhash64({key}), {58 - WORD_BITS}) & 63L AS int)"
+    return f"cast(shiftrightunsigned(xxhash64({key}), {64 - bits}) AS int)", f"cast(shiftrightunsigned(xxhash64({key}), {58 - bits}) & 63L AS int)"
 
 
-def bitmap_of(df: DataFrame, key: str) -> DataFrame:
-    """The keys as a bitmap of fixed size, small enough to broadcast.  It may
-    answer yes for a key that is not there, never no for one that is."""
-    word, bit = _place(key)
-    return df.select(F.expr(word).alias("_word"), F.expr(bit).alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+@dataclass(frozen=True)
+class Bitmap:
+    """Keys as set bits: a table of bounded size, small enough to broadcast.  It
+    may answer yes for a key that is not there, never no for one that is."""
 
+    table: DataFrame
+    bits: int
 
-def flag_by_bitmap(df: DataFrame, key: str, bitmap: DataFrame, out: str) -> DataFrame:
+
+def bitmap_of(df: DataFrame, key: str) -> Bitmap:
+    """A bitmap sized by the count of the rows, which should be a written table
+    or a cheap one, as it is read twice."""
+    wanted = (max(df.count(), 1) // 4).bit_length()  # 16 bits a key, 64 a word
+    bits = min(max(WORD_BITS, wanted), MOST_WORD_BITS)
+    word, bit = _place(key, bits)
+    return Bitmap(df.select(F.expr(word).alias("_word"), F.expr(bit).alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")), bits)
+
+
+def flag_by_bitmap(df: DataFrame, key: str, bitmap: Bitmap, out: str) -> DataFrame:
     """Adds ``out``: whether the bitmap may hold the row's key.  No row is
     shuffled."""
-    word, bit = _place(key)
-    found = df.join(F.broadcast(bitmap), F.expr(word) == F.col("_word"), "left")
+    word, bit = _place(key, bitmap.bits)
+    found = df.join(F.broadcast(bitmap.table), F.expr(word) == F.col("_word"), "left")
     return found.withColumn(out, F.expr(f"coalesce((shiftright(_bits, {bit}) & 1L) = 1L, false)")).drop("_word", "_bits")
 
 
-def where_in_bitmap(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+def where_in_bitmap(df: DataFrame, key: str, bitmap: Bitmap) -> DataFrame:
     return flag_by_bitmap(df, key, bitmap, "_maybe").where("_maybe").drop("_maybe")
 
 
