@@ -33,10 +33,15 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, bound: int) -> Data
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``chosen`` (a bounded table with id) with its texts; no text is moved."""
+    """``chosen`` (a bounded table of distinct ids) with a text for each: of
+    several rows of one id the text of least hash, so the result is as bounded
+    as ``chosen``, however often an id is repeated."""
     rows = pick(docs, id=id_col, text=text_col)
     few = chosen.withColumnRenamed("id", "_chosen")
-    return rows.join(F.broadcast(few), F.col("id") == F.col("_chosen")).drop("_chosen")
+    met = rows.join(F.broadcast(few), F.col("id") == F.col("_chosen")).drop("_chosen")
+    extra = [c for c in chosen.columns if c != "id"]
+    one = met.groupBy("id", *extra).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_m"))
+    return one.select("id", F.col("_m.text").alias("text"), *extra)
 
 
 def score_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:

@@ -89,3 +89,61 @@ def test_keep_good_keeps_columns(spark):
     assert kept.columns == d.columns
     want = {r.doc_id for r in quality_rank.quality_scores(d, t).collect() if r.predicted}
     assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < len(docs)
+
+
+def test_rank_equals_a_plain_minimiser():
+    """Newton's weights against plain gradient descent on the same pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=60) > 0).astype(int)
+    model = quality_rank.fit_rank(x, y, l2=1e-2)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    diff = np.array([z[i] - z[j] for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+    w = np.zeros(4)
+    for _ in range(20000):
+        w -= 0.5 * (-(diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) + 1e-2 * w)
+    assert np.allclose(w, model.weights, atol=1e-4)
+    poor = np.sort(z @ w)[: int((y == 0).sum()) + 1][-2:].mean()
+    assert abs(model.threshold - poor) < 1e-3
+    plain = 1 / (1 + np.exp(-(z @ w - model.threshold + np.log(0.3 / 0.7))))
+    assert np.allclose(model.score(x), plain, atol=1e-3)
+
+
+def test_pu_risk_equals_a_plain_minimiser():
+    """Weights against brute force: the same risk, written out with a dense
+    matrix and minimised by small plain steps."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 3)) < [0.5, 0.3, 0.1]).astype(float)
+    positive = np.zeros(300, bool)
+    positive[:80] = True
+    x[:80, 1] = rng.random(80) < 0.8
+    rows, cols = np.nonzero(x)
+    bias, w = toxicity.fit_nnpu(rows, cols, positive, 3, 0.2, steps=4000, rate=0.02, l2=1e-3)
+
+    def risk(b, v):
+        g = b + x @ v
+        plus, minus = np.logaddexp(0, -g), np.logaddexp(0, g)
+        return 0.2 * plus[positive].mean() + max(0.0, minus[~positive].mean() - 0.2 * minus[positive].mean()) + 0.5e-3 * (v**2).sum()
+
+    b, v = 0.0, np.zeros(3)
+    for _ in range(6000):
+        grad = [(risk(b + 1e-5, v) - risk(b - 1e-5, v)) / 2e-5, *((risk(b, v + e) - risk(b, v - e)) / 2e-5 for e in 1e-5 * np.eye(3))]
+        b, v = b - 0.5 * grad[0], v - 0.5 * np.array(grad[1:])
+    assert abs(risk(b, v) - risk(bias, w)) < 1e-3 and np.allclose([b, *v], [bias, *w], atol=0.1)
+
+
+def test_buckets_equal_plain_words():
+    texts = ["Vile, vile scum!", "", "a b a b", "x" * 50, "É é", None or ""]
+    row, bucket = toxicity.Hasher()(texts)
+    got = [set(bucket[row == i].tolist()) for i in range(len(texts))]
+    words = [set(w) for w in (["vile", "scum"], [], ["a", "b"], ["x" * 50], ["é"], [])]
+    pairs = [{("vile", "vile"), ("vile", "scum")}, set(), {("a", "b"), ("b", "a")}, set(), {("é", "é")}, set()]
+    assert [len(g) for g in got] == [len(w) + len(p) for w, p in zip(words, pairs)]
+    assert toxicity.Hasher()(["scum vile"])[1].tolist() != toxicity.Hasher()(["vile scum"])[1].tolist()
+
+
+def test_many_rows_of_one_id_are_one_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(2000)] + [(2, "b")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 0), (2, 1)], "id long, label int")
+    got = sorted((r.id, r.label) for r in scoring.texts_of(docs, chosen, "doc_id", "text").collect())
+    assert got == [(1, 0), (2, 1)]
