@@ -12,7 +12,8 @@ pairs drawn from them; everything else runs over all rows.
 
 Defined results: null and empty texts get the score of an empty text; with no
 label, or labels of one kind only, every score is 0.5; rows with a null id are
-scored as any other; repeated rows get equal scores; an empty table gives no
+scored as any other; repeated rows get equal scores; very long texts are
+measured whole; pairs that tie count as any other; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -153,7 +154,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents that the ranker accepts, columns as they were.  The score
-    is computed beside the row, so no text is shuffled."""
+    is computed beside the row, so no text is shuffled.  Rows with null ids,
+    empty and null texts and repeated rows are judged by their text alone; with
+    no model, for want of labels of both kinds, every row stays; an empty table
+    stays empty."""
     model = train(docs, labels, id_col, text_col, label_col)
     if model is None:
         return docs
@@ -162,7 +166,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release()
         for texts in batches:
-            yield pd.Series([float(model.score(np.array([features(t or "")]))[0]) for t in texts], dtype="float64")
+            yield pd.Series(model.score(np.array([features(t or "") for t in texts]).reshape(len(texts), -1)) if len(texts) else [], dtype="float64")
         trim()
 
     names = docs.columns
