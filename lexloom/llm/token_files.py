@@ -14,12 +14,14 @@ of their text.  A part is written under another name and renamed, so a task
 that runs twice leaves one whole part.
 
 Defined results: null text counts as empty and has the end id alone; repeated
-rows are all written; an empty table gives a manifest without parts; other
+rows are all written; very long texts are encoded whole; an empty table gives a manifest without parts; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import json
 import os
 import uuid
@@ -38,6 +40,8 @@ from .tokens import resolve, worker_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 NO_ID = -(2**63)
+#: Bytes of input for each part, about.
+PART_BYTES = 256_000_000
 #: Texts encoded at a time; bounds a worker's memory.
 SLICE_BYTES = 16_000_000
 #: Rows, and bytes of ids, read back at a time.
@@ -71,40 +75,57 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if most < 2**16 else "<u4"
 
 
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts: what the plan says of its files, which costs nothing,
+    or a sum where it can't say."""
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if planned < 1 << 50:
+        return planned
+    return pick(docs, text=text_col).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: str = TOKENIZER, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encodes and writes every document; returns the folder."""
+    """Encodes and writes every document; returns the folder.  There are as many
+    parts as shuffle partitions, or more if one would hold over PART_BYTES."""
     spark = docs.sparkSession
     out_dir = out_dir or fresh_path(spark, "tokens")
     folder, kind = local_path(out_dir), id_type(tokenizer)
     os.makedirs(folder, exist_ok=True)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text_col) // PART_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = worker_encoder(tokenizer, kind), TaskContext.get().partitionId()
         end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
-        names, ends, tag = [], [0], uuid.uuid4().hex
-        temp = f"{folder}/.{number}-{tag}"
-        with open(f"{temp}.ids", "wb") as ids:
-            for batch in batches:
-                names.append(batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
-                for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
-                    encoded = encoder.encode_column(batch.column(1).slice(lo, hi - lo))
-                    for e in encoded:
-                        ends.append(ends[-1] + len(e) // width + 1)
-                    ids.write(end.join(encoded) + end)
-        if len(ends) == 1:
-            os.remove(f"{temp}.ids")
-            return
-        np.array(ends, dtype="<i8").tofile(f"{temp}.off")
-        np.concatenate(names).astype("<i8").tofile(f"{temp}.doc")
-        for x in ("ids", "off", "doc"):
-            os.replace(f"{temp}.{x}", f"{folder}/part-{number:06d}.{x}")
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(ends) - 1], pa.int64()), pa.array([ends[-1]], pa.int64())], names=["number", "docs", "tokens"])
+        n_docs, n_ids = 0, 0
+        temp = f"{folder}/.{number}-{uuid.uuid4().hex}"
+        try:
+            # All three files grow slice by slice; a worker holds no more of them.
+            with open(f"{temp}.ids", "wb") as ids, open(f"{temp}.off", "wb") as off, open(f"{temp}.doc", "wb") as doc:
+                np.zeros(1, dtype="<i8").tofile(off)
+                for batch in batches:
+                    batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tofile(doc)
+                    for lo, hi in column_slices(batch.column(1), SLICE_BYTES):
+                        encoded = encoder.encode_column(batch.column(1).slice(lo, hi - lo))
+                        ends = n_ids + np.cumsum([len(e) // width + 1 for e in encoded], dtype="<i8")
+                        ends.tofile(off)
+                        ids.write(end.join(encoded) + end)
+                        n_docs, n_ids = n_docs + len(encoded), int(ends[-1])
+            if n_docs:
+                for x in ("ids", "off", "doc"):
+                    os.replace(f"{temp}.{x}", f"{folder}/part-{number:06d}.{x}")
+        finally:
+            for x in ("ids", "off", "doc"):
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(f"{temp}.{x}")
+        if n_docs:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["number", "docs", "tokens"])
 
     rows = pick(docs, id=id_col, text=text_col).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     # One row for each part, whatever the number of documents.
     counts = sorted(tuple(r) for r in ordered.select("id", "text").mapInArrow(trimmed(write), "number int, docs long, tokens long").collect())
+    for left in glob.glob(f"{folder}/.*-*.???"):  # of attempts whose executor was lost
+        os.remove(left)
     found, doc_base, token_base = [], 0, 0
     for number, n_docs, n_tokens in counts:
         found.append({"number": number, "docs": n_docs, "tokens": n_tokens, "doc_base": doc_base, "token_base": token_base})
