@@ -10,13 +10,16 @@ window of one onto the emptiest of the other, until one partition is left.
 Whenever its fullest window exceeds the capacity the window count rises and the
 group is partitioned anew.
 
-Only lengths reach the groups.  A group's rows are bounded by GROUP_TOKENS
-whatever the data, by hash in expectation: equal rows are spread by their place
-in the input.
+Only lengths reach the groups.  A piece counts as ITEM_TOKENS at least when
+groups are formed, so a group's tokens and its items are bounded whatever the
+data, by hash in expectation: equal rows are spread by their place in the
+input.
 
 Defined results: null text counts as empty and gives the end id alone; repeated
-rows are all packed; null ids are packed as any other; an empty table gives no
-rows; other columns are ignored.
+rows are all packed; null ids are packed as any other; very long texts are cut
+into whole windows and a remainder; pieces that tie in length are ordered by
+their ids' crc32 and place; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4_096
 GROUP_TOKENS = 1 << 20
+#: What a piece counts for at least: a group has 2^15 items at most.
+ITEM_TOKENS = 32
 #: Windows that one group can have, far more than its tokens allow.
 GROUP_WINDOWS = 1 << 24
 #: Rows of a file for which the driver holds one sum of tokens.
@@ -153,17 +158,17 @@ def file_order(path: str) -> tuple[int, str]:
 
 def deal_runs(pieces: DataFrame, group_tokens: int) -> DataFrame:
     """``pieces`` with their group: the rows' order is cut whenever another
-    ``group_tokens`` tokens are full."""
-    run = F.expr(f"at div {RUN_ROWS}L")
+    ``group_tokens`` tokens are full, a piece counting as ITEM_TOKENS at least."""
+    run, weight = F.expr(f"at div {RUN_ROWS}L"), F.greatest("length", F.lit(ITEM_TOKENS))
     # Bounded: a row for each file and RUN_ROWS rows of it.
-    sums = pieces.groupBy("file", run.alias("run")).agg(F.sum("length").alias("n")).toArrow().to_pylist()
+    sums = pieces.groupBy("file", run.alias("run")).agg(F.sum(weight).alias("n")).toArrow().to_pylist()
     sums.sort(key=lambda r: (*file_order(r["file"]), r["run"]))
     n = np.array([r["n"] for r in sums], dtype=np.int64)
     table = pa.table({"_file": pa.array([r["file"] for r in sums], pa.string()), "_run": pa.array([r["run"] for r in sums], pa.int64()), "_serial": np.arange(len(n)), "_before": np.cumsum(n) - n})
     runs = F.broadcast(pieces.sparkSession.createDataFrame(table))
     met = pieces.join(runs, (F.col("file") == F.col("_file")) & (run == F.col("_run"))).drop("file", "_file", "_run")
     within = Window.partitionBy("_serial").orderBy("at", "start").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum("length").over(within), F.lit(0))
+    before = F.col("_before") + F.coalesce(F.sum(weight).over(within), F.lit(0))
     return met.withColumn("_tokens", before).withColumn("group", F.expr(f"_tokens div {group_tokens}L")).drop("_tokens", "_before", "_serial", "at", "salt")
 
 
@@ -178,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capa
     if in_order:
         dealt = deal_runs(pieces, group_tokens)
     else:
-        total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        total = pieces.agg(F.coalesce(F.sum(F.greatest("length", F.lit(ITEM_TOKENS))), F.lit(0))).first()[0]
         groups = max(1, -(-total // group_tokens))
         dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
 
