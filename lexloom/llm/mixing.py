@@ -10,14 +10,16 @@ Weights hold over the whole run, whatever its length: they are rounded only
 where that moves less than one block in all.  The schedule runs over all blocks
 on the driver, in whole numbers, and gives each block its slot and first position; rows are numbered
 within their source and meet their block.  The driver holds an entry for each
-source and each block, never a row.  Each document is given out once.  A source
+source and each block, of which there are about MOST_BLOCKS at most, never a
+row.  Each document is given out once.  A source
 that runs out leaves its slots empty, so the others go on in proportion.
 
 Defined results: every source is told apart, whatever their number; null is a
 source of its own; where weights are given, null and all sources that they do
-not name share one weight; sources of weight zero come last; rows
-with a null id and repeated rows are scheduled as any other; an empty table
-gives no rows; extra columns are kept by ``mixed`` and ignored by ``schedule``.
+not name share one weight; sources of weight zero come last; deadlines that tie
+fall to the larger weight, then to the more frequent source; rows with a null
+id and repeated rows are scheduled as any other; texts, null or long, play no
+part; an empty table gives no rows; extra columns are kept by ``mixed`` and ignored by ``schedule``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ from pyspark.sql import functions as F
 from ..operators.ranking import RANK_BUCKETS, number_groups
 from .common import pick
 
+#: Rows of a block, at least: more where the table would have over MOST_BLOCKS,
+#: so that the schedule, on the driver, is bounded.
 BLOCK_ROWS = 64
+MOST_BLOCKS = 1_000_000
 PERIOD = 1_024
 #: Slots, as a multiple of all blocks, for which sources that ran out keep theirs.
 EMPTY_TURNS = 4
@@ -147,7 +152,7 @@ def pfair_blocks(blocks: Sequence[int], parts: Sequence[int]) -> tuple[np.ndarra
     return source, block, slot
 
 
-def _scheduled(rows: DataFrame, weights: Mapping[str, float] | None, block_rows: int, seed: int) -> tuple[DataFrame, int] | None:
+def _scheduled(rows: DataFrame, weights: Mapping[str, float] | None, block_rows: int | None, seed: int) -> tuple[DataFrame, int] | None:
     """``rows`` (id, source, ...) with weight, block, slot and position, and
     their number; None without rows."""
     spark = rows.sparkSession
@@ -155,6 +160,7 @@ def _scheduled(rows: DataFrame, weights: Mapping[str, float] | None, block_rows:
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:
         return None
+    block_rows = block_rows or max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
     named = counts.where("source IS NOT NULL")
     if weights is not None:
         named = named.where(F.col("source").isin([x for x in weights if x is not None]))
@@ -190,7 +196,7 @@ def _scheduled(rows: DataFrame, weights: Mapping[str, float] | None, block_rows:
     return found.drop("_from", "_bits", "_row", "_block", "_source", "_start"), total
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Per row: id, source, weight, block (within its source), slot and position
     (0, 1, 2, ... over all rows)."""
     rows = pick(docs, id=id_col, source=source_col).withColumn("source", F.col("source").cast("string"))
@@ -201,9 +207,10 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block_
     return found[0].select(F.col("id").alias(id_col), F.col("source").alias(source_col), "weight", "block", "slot", "position")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents in the order of the schedule, columns as they were: the
-    partitions hold successive runs of positions, each run in order."""
+    partitions hold successive runs of positions, each run in order.  Every row
+    stays, whatever its nulls; an empty table stays empty."""
     names = docs.columns
     at = {c: i for i, c in enumerate(names)}
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
