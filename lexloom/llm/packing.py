@@ -10,9 +10,9 @@ window of one onto the emptiest of the other, until one partition is left.
 Whenever its fullest window exceeds the capacity the window count rises and the
 group is partitioned anew.
 
-Only lengths reach the groups.  A piece counts as ITEM_TOKENS at least when
-groups are formed, so a group's tokens and its items are bounded whatever the
-data, by hash in expectation: equal rows are spread by their place in the
+Only lengths reach the groups.  A piece counts as GROUP_TOKENS / GROUP_ITEMS at
+least when groups are formed, so a group's tokens and its items are bounded
+whatever the data, by hash in expectation: equal rows are spread by their place in the
 input.
 
 Defined results: null text counts as empty and gives the end id alone; repeated
@@ -43,8 +43,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4_096
 GROUP_TOKENS = 1 << 20
-#: What a piece counts for at least: a group has 2^15 items at most.
-ITEM_TOKENS = 32
+#: Items of a group at most: a piece counts as its share of the group at least.
+GROUP_ITEMS = 1 << 15
 #: Windows that one group can have, far more than its tokens allow.
 GROUP_WINDOWS = 1 << 24
 #: Rows of a file for which the driver holds one sum of tokens.
@@ -158,8 +158,8 @@ def file_order(path: str) -> tuple[int, str]:
 
 def deal_runs(pieces: DataFrame, group_tokens: int) -> DataFrame:
     """``pieces`` with their group: the rows' order is cut whenever another
-    ``group_tokens`` tokens are full, a piece counting as ITEM_TOKENS at least."""
-    run, weight = F.expr(f"at div {RUN_ROWS}L"), F.greatest("length", F.lit(ITEM_TOKENS))
+    ``group_tokens`` tokens, or GROUP_ITEMS items, are full."""
+    run, weight = F.expr(f"at div {RUN_ROWS}L"), F.greatest("length", F.lit(group_tokens // GROUP_ITEMS))
     # Bounded: a row for each file and RUN_ROWS rows of it.
     sums = pieces.groupBy("file", run.alias("run")).agg(F.sum(weight).alias("n")).toArrow().to_pylist()
     sums.sort(key=lambda r: (*file_order(r["file"]), r["run"]))
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capa
     if in_order:
         dealt = deal_runs(pieces, group_tokens)
     else:
-        total = pieces.agg(F.coalesce(F.sum(F.greatest("length", F.lit(ITEM_TOKENS))), F.lit(0))).first()[0]
+        total = pieces.agg(F.coalesce(F.sum(F.greatest("length", F.lit(group_tokens // GROUP_ITEMS))), F.lit(0))).first()[0]
         groups = max(1, -(-total // group_tokens))
         dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
 
