@@ -278,10 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any_blocked = not groups.where("blocks > 1").isEmpty()
 
     wanted = where_in_bitmap(rows.where("id IS NOT NULL"), "id", bitmap_of(groups, "rep"))
-    # A class by one of its rows: its least id may have rows of other texts.
-    made = stage(set_table(wanted.select("id", "text")), "sets", TEXT_ROWS).withColumn("class", F.xxhash64("digest"))
-    sets = made.join(groups, (F.col("class") == F.col("member")) & (F.col("id") == F.col("rep"))).select(F.col("class").alias("id"), "g", "blocks", "centre", "hashes").dropDuplicates(["id"])
-    inside = _links(stage(sets, "group-sets") if any_blocked else sets, any_blocked)
+    # A class by one of its rows: its least id may have rows of other texts.  Rows
+    # are made one, and meet their group, by one exchange on the same keys.
+    made = set_table(wanted.select("id", "text")).select(F.xxhash64("digest").alias("class"), "id", "hashes").dropDuplicates(["class", "id"])
+    sets = made.join(groups, (F.col("class") == F.col("member")) & (F.col("id") == F.col("rep")))
+    sets = stage(sets.select(F.col("class").alias("id"), "g", "blocks", "centre", "hashes"), "group-sets", TEXT_ROWS)
+    inside = _links(sets, any_blocked)
 
     # A component is named by the least id of its classes.  Written, so that a hot
     # component can be split over tasks.
