@@ -43,6 +43,10 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> np.ndarray: ...
 
 
+#: How far before a word the offline tagger looks for the end of a sentence.
+NEAR = 64
+
+
 class OfflineTagger:
     """Words with a digit as GENE, capitalised ones inside a sentence as
     CHEMICAL; or given terms with their labels."""
@@ -63,7 +67,7 @@ class OfflineTagger:
                 elif any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
                     label = "GENE"
                 else:
-                    label = "CHEMICAL" if w[:1].isupper() and m.start() and text[: m.start()].rstrip()[-1:] not in ("", ".", "!", "?") else None
+                    label = "CHEMICAL" if w[:1].isupper() and re.search(r"[^\s.!?]\s*$", text[max(0, m.start() - NEAR) : m.start()]) else None
                 if label:
                     found.append((m.start(), m.end(), label, round(0.5 + min(len(w), 10) / 20, 3)))
             out.append(found)
@@ -71,8 +75,8 @@ class OfflineTagger:
 
 
 class OfflineModel:
-    """Replies from rules: ``relations`` gives typed JSON for the first chemical
-    and gene named in a prompt, ``option`` an option number, ``echo`` the last
+    """Replies from rules: ``relations`` gives typed JSON for the chemicals
+    and genes named in a prompt, paired in turn, ``option`` an option number, ``echo`` the last
     line of the prompt."""
 
     name = "offline"
@@ -92,7 +96,7 @@ class OfflineModel:
 
     def _relations(self, prompt: str) -> str:
         at = lambda kind: re.findall(rf"([^\s;]+) \({kind}\)", prompt)
-        pairs = list(zip(at("CHEMICAL"), at("GENE")))[:1]
+        pairs = list(zip(at("CHEMICAL"), at("GENE")))
         return json.dumps({"relations": [{"head": a, "tail": b, "predicate": "INHIBITOR"} for a, b in pairs]})
 
 

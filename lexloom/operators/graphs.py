@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Exact distances are exponential; beyond so many nodes a graph is skipped.
-EXACT_NODES = 9
-
 
 def edges_from_records(records: DataFrame, graph: str, src: str, dst: str, label: str, pos: str) -> DataFrame:
     """One edge for each (graph, source, target), the label written last."""
@@ -43,54 +41,83 @@ def difference(a: DataFrame, b: DataFrame, labels: bool = True) -> DataFrame:
     return out.withColumn("distance", F.col("node_changes") + F.col("edge_changes") + (F.col("label_changes") if labels else F.lit(0)))
 
 
-def edit_distance(one: Sequence[tuple[str, str, str]], two: Sequence[tuple[str, str, str]], labels: bool = False, most: int = EXACT_NODES) -> int | None:
-    """The least number of node and edge insertions and deletions (and label
-    changes) that turn one graph into the other, node names aside; None beyond
-    ``most`` nodes.  Branch and bound over assignments of nodes."""
-    ga, gb = {(s, d): x for s, d, x in one}, {(s, d): x for s, d, x in two}
-    degree = lambda g, v: -sum((v == s) + (v == d) for s, d in g)
-    va = sorted({v for e in ga for v in e}, key=lambda v: (degree(ga, v), v))
-    vb = sorted({v for e in gb for v in e})
-    if max(len(va), len(vb)) > most:
-        return None
-    best = len(va) + len(vb) + len(ga) + len(gb)
-
-    def pair(u: str, w: str | None, given: dict[str, str | None]) -> int:
-        """Edge costs between u and the nodes assigned before it, and itself."""
-        cost = 0
-        for x, y in [*given.items(), (u, w)]:
-            for ea, eb in {((u, x), (w, y)), ((x, u), (y, w))}:
-                there, here = ea in ga, None not in eb and eb in gb
-                cost += there != here or bool(labels and there and ga[ea] != gb[eb])
-        return cost
-
-    def search(i: int, given: dict[str, str | None], free: frozenset[str], cost: int) -> None:
+Edge = tuple[str, str, str | None]
+
+
+def _numbered(edges: Sequence[Edge], labels: bool) -> tuple[int, tuple[tuple[int, int, str | None], ...]]:
+    """Nodes as numbers by their degrees, so that many graphs of one shape are
+    told once; the last label of a repeated edge."""
+    kept = {(s, d): x if labels else None for s, d, x in edges}
+    names = sorted({v for e in kept for v in e}, key=lambda v: (-sum(v == s for s, _ in kept), -sum(v == d for _, d in kept), v))
+    at = {v: i for i, v in enumerate(names)}
+    return len(names), tuple(sorted(((at[s], at[d], x) for (s, d), x in kept.items()), key=str))
+
+
+@lru_cache(maxsize=200_000)
+def _most_saved(na: int, ea: tuple, nb: int, eb: tuple, labels: bool) -> int:
+    """The most that edges in common can save, over all ways to give each node
+    of the first graph, the smaller, a node of the second: two for an edge that
+    stays, one for an edge that only changes its label."""
+    ga, gb = {(s, d): x for s, d, x in ea}, {(s, d): x for s, d, x in eb}
+    # Nodes with edges to those before them first.
+    order: list[int] = []
+    while len(order) < na:
+        order.append(max((v for v in range(na) if v not in order), key=lambda v: (sum((v == s and (d in order or d == v)) or (v == d and s in order) for s, d in ga), sum(v in e for e in ga), -v)))
+    place = {v: i for i, v in enumerate(order)}
+    decided = [[e for e in ga if max(place[e[0]], place[e[1]]) == i] for i in range(na)]
+    after = [sum(len(x) for x in decided[i + 1 :]) for i in range(na)]
+    # Nodes of one kind can take each other's place.
+    kinds = [(frozenset((d, x) for (s, d), x in gb.items() if s == w), frozenset((s, x) for (s, d), x in gb.items() if d == w)) for w in range(nb)]
+    worth = lambda e, f: 0 if f not in gb else 2 if not labels or ga[e] == gb[f] else 1
+    most, best = 2 * min(len(ga), len(gb)), 0
+
+    def search(i: int, given: dict[int, int], free: frozenset[int], saved: int) -> None:
         nonlocal best
-        if cost + max(0, abs(len(va) - i - len(free)) if i < len(va) else 0) >= best:
+        best = max(best, saved)
+        if i == na or best == most:
             return
-        if i == len(va):
-            used = {w for w in given.values() if w is not None}
-            rest = sum(1 for s, d in gb if s not in used or d not in used)
-            best = min(best, cost + len(free) + rest)
-            return
-        u = va[i]
-        for w in sorted(free, key=lambda w: abs(degree(gb, w) - degree(ga, u))):
-            search(i + 1, given | {u: w}, free - {w}, cost + pair(u, w, given))
-        search(i + 1, given | {u: None}, free, cost + 1 + pair(u, None, given))
-
-    search(0, {}, frozenset(vb), 0)
+        u, tried = order[i], {}
+        for w in free:
+            if kinds[w] not in tried:
+                to = given | {u: w}
+                tried[kinds[w]] = (sum(worth(e, (to[e[0]], to[e[1]])) for e in decided[i]), w)
+        for gain, w in sorted(tried.values(), reverse=True):
+            rest = free - {w}
+            if saved + gain + 2 * min(after[i], sum(s in rest or d in rest for s, d in gb)) > best:
+                search(i + 1, given | {u: w}, rest, saved + gain)
+
+    search(0, {}, frozenset(range(nb)), 0)
     return best
 
 
-def exact_distances(a: DataFrame, b: DataFrame, labels: bool = False, most: int = EXACT_NODES) -> DataFrame:
-    """Per graph the exact edit distance, null where a side is over ``most``
-    nodes.  Edges past what ``most`` nodes can have aren't gathered: such a
-    graph is known by its count alone."""
-    limit = most * most + 1
+def edit_distance(one: Sequence[Edge], two: Sequence[Edge], labels: bool = False, most: int | None = None) -> int | None:
+    """The least number of node and edge insertions and deletions (and label
+    changes) that turn one graph into the other, node names aside.
+
+    To give a node away never costs more than to delete it and insert another,
+    so every node of the smaller graph is given one of the larger; what is left
+    is the most that edges in common save, found by branch and bound.  Time is
+    exponential in the nodes; over ``most`` of them, if given, the result is
+    None."""
+    (na, ea), (nb, eb) = _numbered(one, labels), _numbered(two, labels)
+    if most is not None and max(na, nb) > most:
+        return None
+    if na > nb:
+        na, ea, nb, eb = nb, eb, na, ea
+    return nb - na + len(ea) + len(eb) - _most_saved(na, ea, nb, eb, labels)
+
+
+def exact_distances(a: DataFrame, b: DataFrame, labels: bool = False, most: int | None = None) -> DataFrame:
+    """Per graph the exact edit distance; a graph that one side lacks is empty
+    there.  Null where a side is over ``most`` nodes, if given; edges past what
+    they can have aren't gathered then, such a graph being known by its count
+    alone."""
 
     def gathered(e: DataFrame, name: str) -> DataFrame:
-        size = e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < limit)
-        rows = e.join(size, "graph_id").groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "label"))).alias(name))
+        rows = e
+        if most is not None:
+            rows = e.join(e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most * most), "graph_id")
+        rows = rows.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "label"))).alias(name))
         return e.select("graph_id").distinct().join(rows, "graph_id", "left").withColumn(f"{name}_there", F.lit(True))
 
     both = gathered(a, "one").join(gathered(b, "two"), "graph_id", "full_outer")
@@ -105,4 +132,8 @@ def exact_distances(a: DataFrame, b: DataFrame, labels: bool = False, most: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["graph_id", "distance"])
 
     kind = dict(both.dtypes)["graph_id"]
-    return both.select("graph_id", "one", "one_there", "two", "two_there").mapInArrow(run, f"graph_id {kind}, distance long")
+    spark = both.sparkSession
+    # Small rows, long work: as many parts as there are cores, at least.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = both.select("graph_id", "one", "one_there", "two", "two_there").repartition(parts, "graph_id")
+    return dealt.mapInArrow(run, f"graph_id {kind}, distance long")

@@ -24,16 +24,17 @@ KNN = f"SELECT a.vec_id AS query_id, b.vec_id, {UNIT} AS score, row_number() OVE
 RATIOS = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall"
 GRAPH = "(SELECT l_orderkey AS g, 's' || (l_suppkey % 5) AS s, 'p' || (l_partkey % 7) AS d, arg_max(l_returnflag, l_linenumber * 1000 + ascii(l_returnflag)) AS f FROM lineitem WHERE (l_linenumber + {0}) % 3 <> 0 GROUP BY ALL)"
 PRINTED = r"""printed AS (SELECT conv_id, '[' || string_agg('Document(page_content=''PubMedID: ' || turn || '\nText: . ' || translate(coalesce(text, ''), '''"\' || chr(10), '') || ''', metadata={''relevance_score'': 0.' || (turn + 1) || '})', ', ' ORDER BY turn) || ']' AS documents
-                FROM conversations WHERE turn < 6 GROUP BY conv_id)"""
+                FROM conversations
+                GROUP BY conv_id)"""
 
 
 def _rouge(n: int) -> str:
     gram = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
-    side = lambda c: f"SELECT conv_id, g, count(*) AS c FROM (SELECT conv_id, {gram} AS g FROM (SELECT conv_id, t, unnest(range(1, len(t) - {n} + 2)) AS i FROM (SELECT conv_id, list_transform(regexp_extract_all(coalesce({c}, ''), '{TOKEN}'), lambda x: lower(x)) AS t FROM pairs))) GROUP BY ALL"
+    side = lambda c: f"SELECT key, g, count(*) AS c FROM (SELECT key, {gram} AS g FROM (SELECT key, t, unnest(range(1, len(t) - {n} + 2)) AS i FROM (SELECT key, list_transform(regexp_extract_all(coalesce({c}, ''), '{TOKEN}'), lambda x: lower(x)) AS t FROM pairs))) GROUP BY ALL"
     return f"""(WITH pa AS ({side('a')}), pb AS ({side('b')}),
-        j AS (SELECT coalesce(pa.conv_id, pb.conv_id) AS conv_id, coalesce(pa.c, 0) AS ca, coalesce(pb.c, 0) AS cb FROM pa FULL JOIN pb ON pa.conv_id = pb.conv_id AND pa.g = pb.g),
-        s AS (SELECT pairs.conv_id, coalesce(sum(least(ca, cb)), 0)::BIGINT AS shared, coalesce(sum(ca), 0) AS a, coalesce(sum(cb), 0) AS b FROM pairs LEFT JOIN j USING (conv_id) GROUP BY ALL)
-        SELECT conv_id, shared AS shared_{n}, round(CASE WHEN shared > 0 THEN 2 * (shared / a) * (shared / b) / (shared / a + shared / b) ELSE 0 END, 6) AS f1_{n} FROM s)"""
+        j AS (SELECT coalesce(pa.key, pb.key) AS key, coalesce(pa.c, 0) AS ca, coalesce(pb.c, 0) AS cb FROM pa FULL JOIN pb ON pa.key = pb.key AND pa.g = pb.g),
+        s AS (SELECT pairs.key, coalesce(sum(least(ca, cb)), 0)::BIGINT AS shared, coalesce(sum(ca), 0) AS a, coalesce(sum(cb), 0) AS b FROM pairs LEFT JOIN j USING (key) GROUP BY ALL)
+        SELECT key, shared AS shared_{n}, round(CASE WHEN shared > 0 THEN 2 * (shared / a) * (shared / b) / (shared / a + shared / b) ELSE 0 END, 6) AS f1_{n} FROM s)"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,7 +67,7 @@ ORACLE_SQL: dict[str, str] = {
     "length_histogram": "SELECT lang, floor(n_chars / 250)::BIGINT AS bin, count(*) AS count FROM documents GROUP BY ALL",
     "length_kde": """WITH s AS (SELECT count(*) AS n, stddev_samp(n_chars) AS sd FROM documents), h AS (SELECT n, sd * n ** -0.2 AS h FROM s), g AS (SELECT unnest(range(101)) AS i)
         SELECT i, round(1e6 * sum(exp(-0.5 * ((i * 200.0::DOUBLE - n_chars) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 4) AS density FROM g, documents, h GROUP BY i""",
-    "mean_row_scores": "SELECT vec_id, round(list_avg(list_filter(list_transform(embedding[1:4], lambda x: x::DOUBLE), lambda x: x > 0)), 6) AS mean_score FROM embeddings",
+    "mean_row_scores": "SELECT vec_id, round(list_avg(list_filter(list_transform(embedding, lambda x: x::DOUBLE), lambda x: x > 0)), 6) AS mean_score FROM embeddings",
     "wide_columns": "SELECT vec_id, " + ", ".join(f"CASE WHEN vec_id % 4 >= {i} THEN round(embedding[{i + 1}]::DOUBLE, 6) END AS score_{i + 1}" for i in range(4)) + " FROM embeddings",
     "flag_highest": "SELECT p_partkey, p_brand FROM (SELECT *, max(p_retailprice) OVER (PARTITION BY p_brand) AS top FROM part) WHERE p_retailprice = top",
     "longest_text": "SELECT doc_id AS key, length(text) AS length FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1",
@@ -147,8 +148,8 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT coalesce(g.f, p.f) AS f, g.f IS NOT NULL AS g, p.f IS NOT NULL AS p FROM g FULL JOIN p ON g.l_orderkey = p.l_orderkey AND g.l_linenumber = p.l_linenumber AND g.f = p.f),
         s AS (SELECT f AS l_returnflag, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g) AS fp, count(*) FILTER (NOT p) AS fn FROM b GROUP BY f UNION ALL SELECT NULL, count(*) FILTER (g AND p), count(*) FILTER (NOT g), count(*) FILTER (NOT p) FROM b), r AS (SELECT *, {RATIOS} FROM s)
         SELECT l_returnflag, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM r""",
-    "ngram_overlap": f"""WITH pairs AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations WHERE turn < 2 GROUP BY conv_id)
-        SELECT * FROM {_rouge(1)} JOIN {_rouge(2)} USING (conv_id)""",
+    "ngram_overlap": f"""WITH pairs AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS key, text AS a, lead(text) OVER w AS b, lead(turn) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE n IS NOT NULL)
+        SELECT * FROM {_rouge(1)} JOIN {_rouge(2)} USING (key)""",
     "context_precision": f"""WITH k AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM ({KNN}) WHERE vec_id <> query_id),
         v AS (SELECT k.query_id, r, (x.label = y.label)::INT AS v FROM k JOIN embeddings x USING (vec_id) JOIN embeddings y ON y.vec_id = k.query_id WHERE r <= 10),
         p AS (SELECT *, sum(v) OVER (PARTITION BY query_id ORDER BY r) / r AS p FROM v)
@@ -167,3 +168,5 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL["fold_report"] = f"""WITH f AS ({ORACLE_SQL['stratified_folds']}), x AS (SELECT l.l_orderkey, l_returnflag, k AS fold, CASE WHEN f.fold = k THEN 'val' ELSE 'train' END AS split FROM lineitem l JOIN f USING (l_orderkey), range(5) r(k))
     SELECT fold, split, l_returnflag, count(*) AS rows, count(DISTINCT l_orderkey) AS documents FROM x GROUP BY ALL"""
+
+from . import more_oracles  # noqa: E402,F401  its SQL joins this table

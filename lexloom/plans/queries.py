@@ -178,8 +178,8 @@ def length_kde(spark, sf_dir):
 
 @query
 def mean_row_scores(spark, sf_dir):
-    four = F.transform(F.slice("embedding", 1, 4), lambda x: F.when(x > 0, x.cast("double")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.bround(X.mean_present(four), 6).alias("mean_score"))
+    present = F.transform("embedding", lambda x: F.when(x > 0, x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.bround(X.mean_present(present), 6).alias("mean_score"))
 
 
 @query
@@ -254,8 +254,8 @@ def python_dict_text(spark, sf_dir):
 
 
 def printed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a printed list of its first turns with scores."""
-    turns = table(spark, sf_dir, "conversations").where("turn < 6")
+    """Each conversation as a printed list of its turns with scores."""
+    turns = table(spark, sf_dir, "conversations")
     plain = F.translate(F.coalesce("text", F.lit("")), "'\"\\\n", "")
     item = F.concat(F.lit("Document(page_content='PubMedID: "), F.col("turn"), F.lit("\\nText: . "), plain, F.lit("', metadata={'relevance_score': 0."), F.col("turn") + 1, F.lit("})"))
     got = turns.withColumn("item", item).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "item"))).alias("a"))
@@ -505,11 +505,19 @@ def entity_prf(spark, sf_dir):
     return out.select("l_returnflag", "tp", "fp", "fn", *(F.bround(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def neighbouring_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the one after it: key, a, b."""
+    turns = table(spark, sf_dir, "conversations")
+    nxt = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("a"), F.lead("text").over(nxt).alias("b"), F.lead("turn").over(nxt).alias("_n"))
+    return pairs.where("_n IS NOT NULL").drop("_n")
+
+
 @query
 def ngram_overlap(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    one, two = (metrics.rouge_n(turns, "conv_id", "a", "b", n).select("conv_id", F.col("shared").alias(f"shared_{n}"), F.bround("f1", 6).alias(f"f1_{n}")) for n in (1, 2))
-    return one.join(two, "conv_id")
+    turns = neighbouring_turns(spark, sf_dir)
+    one, two = (metrics.rouge_n(turns, "key", "a", "b", n).select("key", F.col("shared").alias(f"shared_{n}"), F.bround("f1", 6).alias(f"f1_{n}")) for n in (1, 2))
+    return one.join(two, "key")
 
 
 @query
@@ -556,7 +564,7 @@ def graph_diff(spark, sf_dir):
 
 @query
 def graph_edit_distance(spark, sf_dir):
-    return graphs.exact_distances(order_graph(spark, sf_dir, 0), order_graph(spark, sf_dir, 1), most=4)
+    return graphs.exact_distances(order_graph(spark, sf_dir, 0), order_graph(spark, sf_dir, 1))
 
 
 # --- model-backed steps, with deterministic offline backends
@@ -564,8 +572,8 @@ def graph_edit_distance(spark, sf_dir):
 
 @query
 def ner_offline(spark, sf_dir):
-    found = backends.tag(table(spark, sf_dir, "documents"), "doc_id", "text", backends.OfflineTagger, threshold=0.6, chunk=250)
-    return found.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    found = backends.tag(table(spark, sf_dir, "documents"), "doc_id", "text", backends.OfflineTagger, threshold=0.6)
+    return found.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
 @query
@@ -573,7 +581,7 @@ def relations_offline(spark, sf_dir):
     found = backends.tag(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "key"), "key", "text", backends.OfflineTagger)
     named = found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list(F.concat("surface", F.lit(" ("), "label", F.lit(")")))), "; ").alias("prompt"))
     out = backends.extract(named, "prompt", OfflineRelations, "relations array<struct<head:string,tail:string,predicate:string>>")
-    return out.select("key", F.size("parsed.relations").cast("long").alias("n_relations"))
+    return out.select("key", F.array_join(F.transform("parsed.relations", lambda r: F.concat_ws(">", r["head"], r["predicate"], r["tail"])), ";").alias("relations"))
 
 
 def OfflineRelations() -> backends.OfflineModel:  # noqa: N802
@@ -582,13 +590,13 @@ def OfflineRelations() -> backends.OfflineModel:  # noqa: N802
 
 @query
 def embed_offline(spark, sf_dir):
-    return backends.embed(table(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", "text", backends.OfflineEmbedder).select("key", F.size("embedding").alias("width"))
+    return backends.embed(table(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", "text", backends.OfflineEmbedder).select("key", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select("key", "dim", F.bround(F.col("x").cast("double"), 4).alias("value"))
 
 
 @query
 def rouge_longest(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    return turns.select("conv_id", F.round(metrics.rouge_l(X.tokenize(F.coalesce("a", F.lit(""))), X.tokenize(F.coalesce("b", F.lit("")))), 6).alias("rouge_l"))
+    turns = neighbouring_turns(spark, sf_dir)
+    return turns.select("key", F.round(metrics.rouge_l(X.tokenize(F.coalesce("a", F.lit(""))), X.tokenize(F.coalesce("b", F.lit("")))), 6).alias("rouge_l"))
 
 
 @query
@@ -598,3 +606,6 @@ def flagship(spark, sf_dir):
     hit = lexicon.match_any(docs, ["text", "source", "lang"], lexicon.alternation(TERMS))
     m = mentions(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"))
     return hit.join(m, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_mentions"), F.lit(0)).alias("n_mentions"))
+
+
+from . import round_trips  # noqa: E402,F401  its queries join the catalogue

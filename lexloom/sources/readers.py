@@ -17,10 +17,11 @@ def null_strings(df: DataFrame, na: Sequence[str] = schemas.NA_STRINGS, columns:
     return df.withColumns({c: F.when(~F.col(c).isin(*na), F.col(c)) for c in strings}) if strings and na else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", na: Sequence[str] = ()) -> DataFrame:
-    """Delimited text with a header; quoted fields may hold line breaks and
-    doubled quotes."""
-    df = spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", na: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
+    """Delimited text with a header and doubled quotes.  Fields may hold line
+    breaks with ``multi_line``, for which a file is read by one task; without,
+    a file is split.  An absent field is null."""
+    df = spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=True)
     return null_strings(df, na)
 
 

@@ -21,7 +21,7 @@ def test_no_join_without_a_key(spark, name):
 
 
 #: Queries that go to Python by nature: models, matrix products, sequences.
-PYTHON = {"knn_topk", "knn_threshold_rerank", "contexts_by_seed", "rrf_fusion", "stuffed_prompt", "context_precision", "answer_relevancy", "graph_edit_distance", "ner_offline", "relations_offline", "embed_offline", "rouge_longest"}
+PYTHON = {"knn_topk", "knn_threshold_rerank", "contexts_by_seed", "rrf_fusion", "stuffed_prompt", "context_precision", "answer_relevancy", "graph_edit_distance", "ner_offline", "relations_offline", "embed_offline", "rouge_longest", "kw_filter_large_lexicon", "python_literals", "recursive_chunks", "failing_rows_alone", "retrieval_chain", "indexed_neighbours"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON))
@@ -36,6 +36,16 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text
 
 
+@pytest.mark.parametrize("name", ["entity_join_clean", "spans_per_doc", "char_to_token", "span_contract", "relation_records", "kw_hits_by_term", "bm25_topk"])
+def test_tokens_are_placed_before_they_are_dealt(spark, name):
+    """Rows of all tokens never cross an exchange: what a window or an aggregate
+    is dealt are texts, or the tokens wanted."""
+    text = plan(QUERIES[name](spark, SF))
+    for below in text.split("Exchange hashpartitioning")[1:]:
+        first = next((x for x in below.split("\n")[1:] if "Generate" in x or "Scan" in x or "Exchange" in x), "")
+        assert "posexplode" not in first
+
+
 def test_union_arms_share_one_scan(spark):
     assert plan(QUERIES["kw_filter_multiset"](spark, SF)).count("FileScan parquet") == 1
 

@@ -1,3 +1,6 @@
+import random
+from itertools import permutations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +143,35 @@ def test_index_recall_and_storage(spark, tmp_path):
     assert {(r.query_id, r.vec_id) for r in retrieval.probe(index, q, 10, n_lists=24).collect()} == exact
     none = retrieval.build_index(df.limit(0), f"{tmp_path}/none")
     assert retrieval.probe(none, q, 3).collect() == []
+
+
+def brute_distance(one, two, labels):
+    """All ways to give nodes away, or to delete them."""
+    ga, gb = {(s, d): x for s, d, x in one}, {(s, d): x for s, d, x in two}
+    va, vb = sorted({v for e in ga for v in e}), sorted({v for e in gb for v in e})
+    best = 10**9
+    for to in permutations([*vb, *[None] * len(va)], len(va)):
+        m = dict(zip(va, to))
+        kept = {w for w in to if w is not None}
+        cost = to.count(None) + len(vb) - len(kept)
+        met = {(m[s], m[d]): x for (s, d), x in ga.items() if m[s] is not None and m[d] is not None}
+        cost += len(ga) - len(met) + sum(e not in gb for e in met) + sum(e not in met for e in gb)
+        cost += sum(labels and e in gb and gb[e] != x for e, x in met.items())
+        best = min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("labels", [False, True])
+def test_edit_distance_equals_brute_force(labels):
+    rng = random.Random(3)
+    for _ in range(60):
+        graph = lambda names: [(rng.choice(names), rng.choice(names), rng.choice("XY")) for _ in range(rng.randint(0, 5))]
+        a, b = graph("abcd"), graph("efg")
+        assert graphs.edit_distance(a, b, labels) == graphs.edit_distance(b, a, labels) == brute_distance(a, b, labels), (a, b)
+
+
+def test_edit_distance_of_larger_graphs():
+    ring = lambda n, p: [(f"{p}{i}", f"{p}{(i + 1) % n}", "X") for i in range(n)]
+    assert graphs.edit_distance(ring(12, "a"), ring(12, "b")) == 0
+    assert graphs.edit_distance(ring(12, "a"), ring(12, "b")[:-1]) == 1
+    assert graphs.edit_distance(ring(12, "a"), ring(12, "b"), most=9) is None
