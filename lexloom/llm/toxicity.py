@@ -56,21 +56,30 @@ _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Hasher:
-    """Texts to (row, bucket), each pair once, sorted."""
+    """Texts to (row, bucket), each pair once, sorted; of ``wanted`` buckets (a
+    flag for each) only, if given."""
 
-    def __init__(self) -> None:
-        self.shingler = Shingler()
+    def __init__(self, wanted: np.ndarray | None = None) -> None:
+        self.shingler, self.wanted = Shingler(), wanted
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         hashes, bounds = self.shingler.words([t.lower().encode("utf-8", "replace").translate(_BLANKED) for t in texts])
-        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        pairs = mix(hashes[:-1] * _LEFT + hashes[1:] * _RIGHT)[row[:-1] == row[1:]]
+        # Short numbers sort faster.
+        kind = np.uint32 if len(texts) << BITS < 1 << 32 else np.uint64
+        row = np.repeat(np.arange(len(texts), dtype=kind), np.diff(bounds))
+        inside = row[:-1] == row[1:]
+        pairs = mix(hashes[:-1] * _LEFT + hashes[1:] * _RIGHT)
         half = np.uint64(65 - BITS)
-        bucket = np.concatenate([(hashes >> half), (pairs >> half) + np.uint64(BUCKETS // 2)]).astype(np.int64)
-        both = np.unique(np.concatenate([row, row[:-1][row[:-1] == row[1:]]]) * BUCKETS + bucket)
-        return both // BUCKETS, both % BUCKETS
+        bucket = np.concatenate([(hashes >> half).astype(kind), (pairs >> half).astype(kind)[inside] + kind(BUCKETS // 2)])
+        row = np.concatenate([row, row[:-1][inside]])
+        if self.wanted is not None:
+            kept = self.wanted[bucket]
+            row, bucket = row[kept], bucket[kept]
+        both = np.sort((row << kind(BITS)) | bucket)
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        return (both >> kind(BITS)).astype(np.int64), (both & kind(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass
@@ -82,8 +91,9 @@ class BucketModel:
     weights: np.ndarray
 
     def scorer(self):
-        table, hasher = np.zeros(BUCKETS), Hasher()
+        table = np.zeros(BUCKETS)
         table[self.buckets] = self.weights
+        hasher = Hasher(table != 0)
 
         def score(texts: list[str]) -> np.ndarray:
             row, bucket = hasher(texts)
@@ -136,14 +146,13 @@ def _rows(buckets: np.ndarray):
     """A map over (text, positive) to each text's places in ``buckets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, place = Hasher(), np.full(BUCKETS, -1, np.int32)
+        place = np.full(BUCKETS, -1, np.int32)
         place[buckets] = np.arange(len(buckets))
+        hasher = Hasher(place >= 0)
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(0), SLICE_CHARS):
                 row, bucket = hasher(texts)
-                known = place[bucket] >= 0
-                row, at = row[known], place[bucket[known]]
-                lists = np.split(at, np.searchsorted(row, np.arange(1, len(texts))))
+                lists = np.split(place[bucket], np.searchsorted(row, np.arange(1, len(texts))))
                 yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], pa.array(lists, pa.list_(pa.int32()))], names=["positive", "places"])
 
     return run
