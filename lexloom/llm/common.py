@@ -77,12 +77,20 @@ def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+#: Narrow rows of a stage's file, about.
+FILE_ROWS = 50_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None, about: int | None = None) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, and a
     lost executor costs no more than the tasks it was running.  ``rows`` bounds
-    the batches that go to workers on the way."""
+    the batches that go to workers on the way.  ``about``, a count of narrow
+    rows expected, keeps a small table from being written as many files, each
+    of which costs the file system more than its rows do."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if about is not None and about < FILE_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(8 + about // FILE_ROWS)
     with arrow_rows(spark, rows):
         df.write.parquet(path)
     _STAGED.append(path)

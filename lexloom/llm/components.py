@@ -31,7 +31,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = state(edges)
     while seen[0]:
-        edges = stage(_small_star(_large_star(edges)), name)
+        edges = stage(_small_star(_large_star(edges)), name, about=seen[0])
         now = state(edges)
         if now == seen:
             break

@@ -232,7 +232,7 @@ def _links(sets: DataFrame, any_blocked: bool) -> DataFrame:
     if loose.isEmpty():
         return inside.unionByName(stars.withColumnRenamed("b", "root"))
     others = F.when(F.col("loose"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("with_loose"))
-    met = parts.join(stage(loose, "loose"), F.col("g") == F.col("_g")).withColumn("other", F.explode(others)).where("other <> block")
+    met = parts.join(stage(loose, "loose", about=0), F.col("g") == F.col("_g")).withColumn("other", F.explode(others)).where("other <> block")
     met = met.select(F.col("a").alias("_id"), (~F.col("loose")).alias("_tight"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     pairs = dealt.drop("tight").join(met, F.col("id") == F.col("_id")).withColumnRenamed("_tight", "tight")
     across = pairs.select(*_DEALT).groupBy("g", "i", "j").applyInArrow(_check, _LINKS).select("a", "b")
@@ -268,13 +268,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = components(likely.unionByName(edges.where("NOT pair").select(F.col("class").alias("a"), F.col("centre").alias("b"))), "candidates")
 
     members = candidates.select(F.col("a").alias("member"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("member"), F.col("root").alias("g")).distinct())
+    n = 2 * candidates.count()  # nodes at most
     degrees = edges.groupBy(F.col("centre").alias("_centre")).agg(F.count(F.lit(1)).alias("degree"))
     sized = members.join(classes.select(F.col("class").alias("member"), "n", "rep"), "member").join(degrees, F.col("member") == F.col("_centre"), "left")
-    sized = stage(sized.select("member", "g", "n", "rep", F.coalesce("degree", F.lit(0)).alias("degree")), "members")
+    sized = stage(sized.select("member", "g", "n", "rep", F.coalesce("degree", F.lit(0)).alias("degree")), "members", about=n)
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
     # Written, so that a hot group can be split over tasks when it meets its size.
-    sizes = stage(sized.groupBy("g").agg(blocks.alias("blocks"), F.max_by("member", "degree").alias("centre")).withColumnRenamed("g", "_g"), "sizes")
-    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks", "centre", "rep"), "groups")
+    sizes = stage(sized.groupBy("g").agg(blocks.alias("blocks"), F.max_by("member", "degree").alias("centre")).withColumnRenamed("g", "_g"), "sizes", about=n)
+    groups = stage(sized.join(sizes, F.col("g") == F.col("_g")).select("member", "g", "blocks", "centre", "rep"), "groups", about=n)
     any_blocked = not groups.where("blocks > 1").isEmpty()
 
     wanted = where_in_bitmap(rows.where("id IS NOT NULL"), "id", bitmap_of(groups, "rep"))
@@ -288,8 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A component is named by the least id of its classes.  Written, so that a hot
     # component can be split over tasks.
     linked_to = inside.unionByName(inside.select(F.col("root").alias("a"), "root").distinct())
-    of_class = stage(linked_to.join(classes.select("class", "rep"), F.col("a") == F.col("class")).select("a", "root", "rep"), "linked")
-    least = stage(of_class.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "_root"), "least")
+    of_class = stage(linked_to.join(classes.select("class", "rep"), F.col("a") == F.col("class")).select("a", "root", "rep"), "linked", about=n)
+    least = stage(of_class.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "_root"), "least", about=n)
     named_by = of_class.join(least, F.col("root") == F.col("_root")).select("a", "least")
     roots = classes.select("digest", "class", "rep").join(named_by, F.col("class") == F.col("a"), "left").select(F.col("digest").alias("_digest"), F.coalesce("least", "rep").alias("component"))
     out = sigs.select("id", "n", "digest", *extra).join(roots, F.col("digest") == F.col("_digest"), "left")
