@@ -9,7 +9,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
@@ -122,25 +126,59 @@ def _made(make: Callable[[], object]) -> object:
     return make()
 
 
-def _each(call: Callable[[Sequence], Sequence], items: list) -> list[tuple[object, str | None]]:
-    """Results with errors; a batch that fails is tried again item by item."""
-    try:
-        return [(x, None) for x in call(items)]
-    except Exception as whole:
-        if len(items) == 1:
-            return [(None, f"{type(whole).__name__}: {whole}")]
-        return [r for i in items for r in _each(call, [i])]
+@dataclass(frozen=True)
+class Patience:
+    """How long a call may take, how often one prompt is tried again, and the
+    seconds before that, doubled each time up to ``longest``."""
+
+    timeout: float | None = None
+    retries: int = 0
+    wait: float = 1.0
+    longest: float = 50.0
 
 
-def generate(df: DataFrame, prompt: str, make: Callable[[], TextModel], reply: str = "reply", error: str = "error", batch: int = 64) -> DataFrame:
-    """Adds a model's reply, or its error, to every row."""
+def _call(call: Callable[[Sequence], Sequence], items: list, timeout: float | None) -> Sequence:
+    if timeout is None:
+        return call(items)
+    # Not a with-block, which would wait for a call that hangs.
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call, items).result(timeout)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _each(call: Callable[[Sequence], Sequence], items: list, patience: Patience = Patience()) -> list[tuple[object, str | None]]:
+    """Results with errors; a batch that fails is halved until the prompt that
+    fails is alone, and that one is tried again as patience allows."""
+    if not items:
+        return []
+    for attempt in range(1 + (patience.retries if len(items) == 1 else 0)):
+        try:
+            got = list(_call(call, items, patience.timeout))
+            if len(got) != len(items):
+                raise ValueError(f"{len(got)} replies to {len(items)} prompts")
+            return [(x, None) for x in got]
+        except Exception as failed:
+            why = f"{type(failed).__name__}: {failed}"
+        if len(items) > 1:
+            half = len(items) // 2
+            return _each(call, items[:half], patience) + _each(call, items[half:], patience)
+        if attempt < patience.retries:
+            time.sleep(min(patience.wait * 2**attempt, patience.longest))
+    return [(None, why)]
+
+
+def generate(df: DataFrame, prompt: str, make: Callable[[], TextModel], reply: str = "reply", error: str = "error", batch: int = 64, patience: Patience = Patience()) -> DataFrame:
+    """Adds a model's reply, or its error, to every row; null prompts are sent
+    as they are."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _made(make)
         for b in batches:
             prompts = b.column(names.index(prompt)).to_pylist()
-            got = [r for i in range(0, len(prompts), batch) for r in _each(model.generate, prompts[i : i + batch])]
+            got = [r for i in range(0, len(prompts), batch) for r in _each(model.generate, prompts[i : i + batch], patience)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=[*names, reply, error])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -153,11 +191,26 @@ def extract(df: DataFrame, prompt: str, make: Callable[[], TextModel], schema: s
     return generate(df, prompt, make).withColumn(out, lenient_json("reply", schema)).drop("reply")
 
 
-def tag(df: DataFrame, key: str, text: str, make: Callable[[], Tagger], threshold: float = 0.0, chunk: int | None = None) -> DataFrame:
-    """A row for each entity found: key, start, end, label, score, surface.
+def _flat(found: Sequence[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Of entities that overlap the best scored, then the first, then the longest."""
+    kept: list[tuple[int, int, str, float]] = []
+    for e in sorted(found, key=lambda e: (-e[3], e[0], -e[1], e[2])):
+        at = bisect_left(kept, e)
+        if (not at or kept[at - 1][1] <= e[0]) and (at == len(kept) or e[1] <= kept[at][0]):
+            kept.insert(at, e)
+    return kept
+
+
+def tag(df: DataFrame, key: str, text: str, make: Callable[[], Tagger], threshold: float = 0.0, chunk: int | None = None, labels: Sequence[str] | None = None, flat: bool = True) -> DataFrame:
+    """A row for each entity found: key, start, end, label, score, surface; null
+    texts have none.
 
-    ``chunk`` cuts long texts at blanks into pieces of about so many words."""
+    ``labels`` are the kinds asked for: a tagger that has ``tag_labels`` is asked
+    for them, any other's entities are kept by them.  ``flat`` leaves out all but
+    the best of entities that overlap; otherwise they may be nested.  ``chunk``
+    cuts long texts at blanks into pieces of about so many words."""
     kind = dict(df.dtypes)[key]
+    wanted = None if labels is None else set(labels)
 
     def pieces(value: str) -> list[tuple[int, str]]:
         if not chunk:
@@ -172,12 +225,14 @@ def tag(df: DataFrame, key: str, text: str, make: Callable[[], Tagger], threshol
             rows, cols = [], [[], [], [], [], []]
             for i, value in enumerate(b.column(1).to_pylist()):
                 own = pieces(value or "")
-                for (at, _), found in zip(own, tagger.tag([p for _, p in own])):
-                    for start, end, label, score in found:
-                        if score >= threshold:
-                            rows.append(i)
-                            for c, x in zip(cols, (at + start, at + end, label, score, value[at + start : at + end])):
-                                c.append(x)
+                ask = getattr(tagger, "tag_labels", None) if labels is not None else None
+                said = ask([p for _, p in own], list(labels)) if ask else tagger.tag([p for _, p in own])
+                for (at, _), found in zip(own, said):
+                    fine = [e for e in found if e[3] >= threshold and (wanted is None or e[2] in wanted)]
+                    for start, end, label, score in _flat(fine) if flat else fine:
+                        rows.append(i)
+                        for c, x in zip(cols, (at + start, at + end, label, score, value[at + start : at + end])):
+                            c.append(x)
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[key, "start", "end", "label", "score", "surface"])
 

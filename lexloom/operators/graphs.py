@@ -23,6 +23,7 @@ def edges_from_arrays(df: DataFrame, graph: str, src: str | Column, dst: str, la
 
 
 def nodes(edges: DataFrame) -> DataFrame:
+    """Each graph's distinct ends of edges."""
     return edges.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 

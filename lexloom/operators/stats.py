@@ -32,6 +32,8 @@ def unpivoted(summary: DataFrame, by: Sequence[str] = (), drop: Sequence[str] =
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows of each value, the most frequent first, ties by value; null counts as
+    a value."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), column)
 
 
@@ -73,6 +75,7 @@ def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
 
 
 def renamed_rows(df: DataFrame, column: str, names: Mapping[str, str]) -> DataFrame:
+    """Values replaced by a mapping; others, and nulls, stay."""
     return df.replace(dict(names), subset=[column])
 
 

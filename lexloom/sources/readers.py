@@ -32,21 +32,24 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, na: Sequence[
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A row for each line; a line that doesn't parse gives nulls."""
     return spark.read.schema(schema).json(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A row for each item of a file's array; a file is read by one task."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def read_keyed_json(spark: SparkSession, path: str, value: T.StructType, key: str = "pmid") -> DataFrame:
-    """One object of objects: a row for each key."""
+    """One object of objects: a row for each key; a file is read by one task."""
     text = spark.read.text(path, wholetext=True)
     whole = text.select(F.from_json("value", T.MapType(T.StringType(), value)).alias("m"))
     return whole.select(F.explode("m").alias(key, "v")).select(key, "v.*")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each line, empty ones too."""
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

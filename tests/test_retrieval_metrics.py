@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import permutations
 
 import numpy as np
@@ -175,3 +176,47 @@ def test_edit_distance_of_larger_graphs():
     assert graphs.edit_distance(ring(12, "a"), ring(12, "b")) == 0
     assert graphs.edit_distance(ring(12, "a"), ring(12, "b")[:-1]) == 1
     assert graphs.edit_distance(ring(12, "a"), ring(12, "b"), most=9) is None
+
+
+def test_calls_are_halved_timed_and_tried_again():
+    seen = []
+
+    def picky(items):
+        seen.append(len(items))
+        if "bad" in items:
+            raise ValueError("bad one")
+        return [x.upper() for x in items]
+
+    got = backends._each(picky, ["a", "b", "bad", "c"])
+    assert [x for x, _ in got] == ["A", "B", None, "C"] and "bad one" in got[2][1] and seen == [4, 2, 2, 1, 1]
+    tries = []
+
+    def shaky(items):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return items
+
+    assert backends._each(shaky, ["x"], backends.Patience(retries=3, wait=0.01)) == [("x", None)] and len(tries) == 3
+    slow = backends._each(lambda items: time.sleep(1) or items, ["x"], backends.Patience(timeout=0.05))
+    assert slow[0][0] is None and "Timeout" in slow[0][1]
+    assert backends._each(lambda items: [], ["x"])[0][0] is None and backends._each(picky, []) == []
+
+
+def test_labels_asked_for_and_overlaps(spark):
+    class Nested:
+        name = "nested"
+
+        def tag(self, texts):
+            return [[(0, 8, "GENE", 0.7), (0, 4, "CHEMICAL", 0.9), (9, 12, "OTHER", 0.8)] for _ in texts]
+
+        def tag_labels(self, texts, labels):
+            return [[e for e in own if e[2] in labels] for own in self.tag(texts)]
+
+    df = spark.createDataFrame([(1, "abcd efg hij"), (2, None)], "k long, t string").where("t IS NOT NULL")
+    found = lambda **how: {(r.label, r.surface) for r in backends.tag(df, "k", "t", Nested, **how).collect()}
+    assert found() == {("CHEMICAL", "abcd"), ("OTHER", "hij")}
+    assert found(flat=False) == {("CHEMICAL", "abcd"), ("OTHER", "hij"), ("GENE", "abcd efg")}
+    assert found(labels=["GENE"]) == {("GENE", "abcd efg")}
+    offline = {r.label for r in backends.tag(df, "k", "t", backends.OfflineTagger, labels=["GENE"]).collect()}
+    assert offline <= {"GENE"}
