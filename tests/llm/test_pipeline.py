@@ -90,3 +90,55 @@ def test_rows_from_no_file_are_packed_in_order(spark):
     at = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id // packing.GROUP_WINDOWS, r.doc_id))]
     assert at == list(range(100))
     assert packing.pack(frame.limit(0), in_order=True).collect() == []
+
+
+def odd_corpus():
+    """Nulls in every column, empty and very long texts, repeated rows and ids,
+    and columns that clash with names used inside the operators."""
+    rng = random.Random(7)
+    vocab = ["w%d" % i for i in range(900)]
+    plain = [" ".join(rng.choice(vocab) for _ in range(80)) for _ in range(30)]
+    long = " ".join(rng.choice(vocab) for _ in range(60_000))
+    rows = [(i, t, "en", "a" if i % 3 else None) for i, t in enumerate(plain)]
+    rows += [(None, plain[0], None, None), (None, "only here " * 30, "en", "b"), (3, plain[3], "en", "b"), (3, "another text of id three " * 20, "en", "b"), (0, plain[1], "en", "a")]
+    rows += [(100, None, "en", "a"), (101, "", "en", "a"), (102, " \n\t", None, "c"), (103, long, "en", "a"), (104, long + " end", "en", "a"), (105, long, "en", None)]
+    return [(i, t, lang, source, None if t is None else len(t), "clash", 1.5) for i, t, lang, source in rows]
+
+
+ODD = DOCS + ", SCORE string, `position` double"
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    data = odd_corpus()
+    spark.createDataFrame(data, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, now, str(tmp_path))
+        if name != "pack":
+            assert out.columns == now.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = [(r[0], r[1]) for r in now.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(kept["quality"], key=key) == sorted(((r[0], r[1]) for r in data), key=key)  # no labels, no model
+    groups = {}
+    for i, t, *_ in data:
+        groups.setdefault("".join((t or "").split()), []).append((i, t))
+    best = {g: min(rows, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g, rows in groups.items()}
+    alike = lambda r, b: r[0] == b[0] and len(r[1] or "") == len(b[1] or "")
+    exact = [r for g, rows in groups.items() for r in rows if alike(r, best[g])]
+    assert sorted(kept["exact_dedup"], key=key) == sorted(exact, key=key)
+    # The long text and its longer copy are linked; the lesser id stays.
+    near = [r for r in exact if r[0] != 104]
+    assert {103, 104} <= {r[0] for r in exact} and sorted(kept["near_dedup"], key=key) == sorted(near, key=key)
+    assert sorted(kept["mix"], key=key) == sorted(near, key=key)
+    pieces = spark.read.parquet(f"{tmp_path}/pack").collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in near}
+    assert sum(r.start == 0 for r in pieces) == len(near)
+
+
+def test_an_empty_table_goes_through_every_stage(spark, tmp_path):
+    spark.createDataFrame([], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
