@@ -172,14 +172,15 @@ def deal_runs(pieces: DataFrame, group_tokens: int) -> DataFrame:
     return met.withColumn("_tokens", before).withColumn("group", F.expr(f"_tokens div {group_tokens}L")).drop("_tokens", "_before", "_serial", "at", "salt")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES, in_order: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_tokens: int = GROUP_TOKENS, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES, in_order: bool = False, batch_rows: int | None = None) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and
     offset within the sequence (and its ids).
 
-    ``memo_chunks`` and ``slice_bytes`` trade a worker's memory for its time.
+    ``memo_chunks``, ``slice_bytes`` and ``batch_rows`` (texts sent to a worker at
+    once) trade a worker's memory for its time.
     With ``in_order`` groups are successive runs of the rows as their files hold
     them, so that sequence_id follows that order, group by group."""
-    pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_chunks, slice_bytes, in_order), "pieces")
+    pieces = stage(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_chunks, slice_bytes, in_order), "pieces", batch_rows)
     if in_order:
         dealt = deal_runs(pieces, group_tokens)
     else:
