@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by groups.  Null and empty texts give a piece of the end id alone, long ones
     as many as they fill.  Workers keep to less memory than when packing is all
     that executors do."""
-    return packing.pack(docs, memo_chunks=200_000, slice_bytes=4_000_000, in_order=True)
+    return packing.pack(docs, memo_chunks=200_000, slice_bytes=4_000_000, in_order=True, batch_rows=1_000)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", pack)]

@@ -96,7 +96,8 @@ def number_rows(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
 
     Rows that tie on the key follow a hash of their columns, so a frequent key
     is spread too and only equal rows share a part.  Keys of nested types are
-    ordered by, but not dealt by.  An empty table gives no rows."""
+    ordered by, but not dealt by: where the first is one, a single task numbers
+    all.  An empty table gives no rows."""
     whole = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keys = [f"_k{i}" for i in range(len(order))]
     rows = df.withColumns(dict(zip(keys, order)) | {"_tie": F.xxhash64(*whole)})
@@ -110,10 +111,10 @@ def number_rows(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
         cutting.append(f"_cut{k}")
     kinds = dict(rows.dtypes)
     bounds = _bounds(rows, cutting) if cutting else []
-    bucket = F.lit(0)
-    if bounds:
-        table = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(cutting, b))) for b in bounds))
-        bucket = _lower_bound(table, len(bounds), F.struct(*cutting))
+    if not bounds:  # at most some CUT_ROWS rows, or a key that can't be dealt by
+        return rows.withColumn(out, F.row_number().over(Window.orderBy(*keys, "_tie")).cast("long") - 1).drop(*keys, "_tie", *cutting)
+    table = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(cutting, b))) for b in bounds))
+    bucket = _lower_bound(table, len(bounds), F.struct(*cutting))
     return number_groups(rows, [], bucket, [*map(F.col, keys), F.col("_tie")], out).drop(*keys, "_tie", *cutting)
 
 
